@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyflow.llm import simhash
-from keyflow.llm.common import table
+from keyflow.llm import simhash, substrings, token_counts, token_files
+from keyflow.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "token-files")
+    docs = table(spark, sf_dir, "documents")
+    token_files.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.checksums(token_files.read_tokens(spark, path, dict(docs.dtypes)["doc_id"]))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = shared_dir(spark, "token-counts")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_simhash,)}
+    every = (op1_token_files, op6_substrings, op8_simhash, op10_token_counts)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
