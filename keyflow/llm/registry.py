@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyflow.llm import mixing, simhash, substrings, token_counts, token_files
+from keyflow.llm import knn, mixing, simhash, substrings, token_counts, token_files
 from keyflow.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -41,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_token_files, op4_mixing, op6_substrings, op8_simhash, op10_token_counts)
+    every = (op1_token_files, op4_mixing, op5_top_k, op6_substrings, op8_simhash, op10_token_counts)
     return {f.__name__: f for f in every}
 
 
