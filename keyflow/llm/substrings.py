@@ -141,9 +141,9 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark = docs.sparkSession
     frame = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     size = frame.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = 2 * partitions(spark)
+    least = partitions(spark)
     chunks = max(2 * least, size // CHUNK_BYTES)
-    buckets = 1 << (max(least, size // 6 // BUCKET_HASHES) - 1).bit_length()
+    buckets = 1 << (max(least, size // 6 // BUCKET_HASHES, 2) - 1).bit_length()
     dealt = frame.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))
     sent = dealt.groupBy("chunk").applyInArrow(_hash_texts(buckets, width), "bucket long, chunk long, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_find_repeated, "chunk long, bucket long, bits binary")
