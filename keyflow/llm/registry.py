@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyflow.llm import knn, mixing, simhash, substrings, token_counts, token_files
+from keyflow.llm import knn, mixing, simhash, substrings, tiling, token_counts, token_files, toxicity
 from keyflow.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, path, dict(docs.dtypes)["doc_id"]))
 
 
+def op2_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,13 +43,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = shared_dir(spark, "token-counts")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_token_files, op4_mixing, op5_top_k, op6_substrings, op8_simhash, op10_token_counts)
+    every = (op1_token_files, op2_tiling, op4_mixing, op5_top_k, op6_substrings, op8_simhash, op9_toxicity, op10_token_counts)
     return {f.__name__: f for f in every}
 
 
