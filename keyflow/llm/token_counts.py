@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyflow.llm.common import text_of
-from keyflow.llm.encoders import Memo, spaced
+from keyflow.llm.encoders import memo, spaced
 from keyflow.llm.words import slices
 
 _CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -44,12 +44,11 @@ def _stored(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame | None
 
 def _count(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(tokenizer, len)
+        known = memo(tokenizer, len)
         for batch in batches:
             for some in slices(batch, "text", 2 << 20):
-                pieces = [spaced(x) for x in some.column("text").to_pylist()]
-                known = memo.learn(x for text in pieces for x in text)
-                yield pa.record_batch({"digest": some.column("digest"), "n_tokens": pa.array([sum([known[x] for x in text]) for text in pieces], pa.int64())})
+                counts = [sum(map(known.trim().__getitem__, spaced(x))) for x in some.column("text").to_pylist()]
+                yield pa.record_batch({"digest": some.column("digest"), "n_tokens": pa.array(counts, pa.int64())})
 
     return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyflow.llm.common import partitions, text_of
-from keyflow.llm.encoders import Memo, words
+from keyflow.llm.encoders import id_bytes, memo, words
 from keyflow.llm.words import slices
 
 ORC_OPTIONS = {
@@ -32,14 +32,11 @@ ORC_OPTIONS = {
 
 def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(tokenizer, lambda ids: np.array(ids, np.int32).tobytes())
-        end = np.array([end_id], np.int32).tobytes()
+        known, end = memo(tokenizer, id_bytes), id_bytes([end_id])
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in slices(batch, "text", 2 << 20):
-                pieces = [words(x) for x in some.column("text").to_pylist()]
-                known = memo.learn(x for text in pieces for x in text)
-                ids = [b"".join([known[x] for x in text]) + end for text in pieces]
+                ids = [b"".join(map(known.trim().__getitem__, words(x))) + end for x in some.column("text").to_pylist()]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
