@@ -162,8 +162,8 @@ def repeat(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_co
 
     Rows that share id and source take the copies of such rows in the order of their texts.
     """
-    copies = mixed.groupBy(_key(F.col("doc_id"), F.col("source")).alias("__key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    keyed = docs.withColumn("__key", _key(F.col(id_column), F.col(source_column)))
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(text_column))
-    joined = keyed.withColumn("__nth", nth).join(copies, "__key").withColumn("__n", F.element_at("__copies", F.col("__nth")))
-    return joined.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
+    copies = mixed.groupBy(_key(F.col("doc_id"), F.col("source")).alias("key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col(id_column), F.col(source_column)).alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.col("row")[text_column]))
+    joined = keyed.withColumn("nth", nth).join(copies, "key").withColumn("n", F.element_at("copies", F.col("nth")))
+    return joined.where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("row.*")
