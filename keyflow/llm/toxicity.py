@@ -137,7 +137,7 @@ def fit_chain(present: list[np.ndarray], labels: np.ndarray, categories: tuple[s
                 model = _one([present[i] for i in off], earlier[off], y[off])
                 out[on] = _apply(model, [present[i] for i in on], earlier[on])
         models.append(_one(present, earlier, y))
-        limits.append(_limit(out, y) if n else 0.5)
+        limits.append(_limit(out, y) if n else 2.0)
         earlier = np.hstack([earlier, _logit(out)[:, None]])
     return Chain(categories, models, limits)
 

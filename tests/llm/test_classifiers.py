@@ -1,0 +1,56 @@
+import re
+
+from keyflow.llm import secrets, toxicity
+from tests.llm.fixtures import documents, empty
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    scanner = secrets.train(secrets.sample_findings(spark))
+    held = secrets.sample_findings(spark, 600, seed=99).collect()
+    p = scanner.chances([(secrets.Candidate(0, 0, r.value, r.before, r.after), r.path) for r in held])
+    assert sum((x >= 0.5) == bool(r.label) for r, x in zip(held, p, strict=True)) >= 0.98 * len(held)
+
+
+def test_secrets_of_the_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = secrets.scan(docs, secrets.train(secrets.sample_findings(spark)), path_column="source").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    expected = {(k, m.start(1), m.end(1)) for k, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t or "")}
+    assert {(r.doc_id, r.start, r.end) for r in found if r.is_secret} == expected
+    assert all(texts[r.doc_id][r.start : r.end] == r.value for r in found)
+    assert any(not r.is_secret for r in found)
+
+
+def test_secrets_bear_any_row(spark):
+    scanner = secrets.train(secrets.sample_findings(spark))
+    docs = spark.createDataFrame([(None, 'password: "hunter2hunter2"'), (1, None), (2, ""), (3, "A1" * 5000)], "doc_id long, text string")
+    assert {r.doc_id for r in secrets.scan(docs, scanner).collect()} == {None, 3}
+    assert secrets.scan(empty(spark), scanner).count() == 0
+    nothing = secrets.train(spark.createDataFrame([], secrets.FINDINGS))
+    assert all(r.is_secret for r in secrets.scan(docs, nothing).collect())
+    secrets.scan(documents(spark), scanner).collect()
+
+
+def test_toxicity_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.train(docs, labels.where("doc_id % 4 <> 0"))
+    truth = {r.doc_id: r.toxic for r in labels.where("doc_id % 4 = 0").collect()}
+    found = {r.doc_id: r.flagged for r in toxicity.score(docs.where("doc_id % 4 = 0"), chain).collect() if r.doc_id in truth}
+    toxic, clean = [k for k in found if truth[k]], [k for k in found if not truth[k]]
+    assert sum(found[k] for k in toxic) >= 0.85 * len(toxic)
+    assert sum(found[k] for k in clean) <= 0.02 * len(clean)
+
+
+def test_toxicity_bears_any_row(spark):
+    docs = documents(spark).unionByName(spark.createDataFrame([(None, None, None, None, None, None, None, None, None)], documents(spark).schema))
+    labels = spark.createDataFrame([(7 + 3 * i, i % 2, None if i == 3 else int(i % 5 == 0), "x") for i in range(70)] + [(None, 1, 1, "x"), (99999, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    chain = toxicity.train(docs, labels)
+    scored = toxicity.score(docs, chain)
+    assert scored.columns == ["doc_id", "p_quality", "p_toxic", "flagged"] and scored.count() == docs.count()
+    kept = toxicity.keep_clean(docs, chain)
+    assert kept.columns == docs.columns and kept.count() == scored.where("not flagged").count()
+    assert toxicity.score(empty(spark), chain).count() == 0
+    none = toxicity.train(empty(spark), labels)
+    assert toxicity.keep_clean(docs, none).count() == docs.count()
