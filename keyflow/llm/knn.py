@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyflow.llm.common import materialize
+from keyflow.llm.common import materialize, released
 
 SCALE = 64
 #: Pivots, queries in a block and rows in a chunk that are solved together.
@@ -151,7 +151,7 @@ def _same_length(ready: DataFrame, dims: int, k: int, every: int) -> DataFrame:
     chosen = ready.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id", "v").select("v", "norm").limit(PIVOTS).collect()
     pivots = np.unique(np.array([[*r.v, np.sqrt(max(top - r.norm, 0.0))] for r in chosen]), axis=0)
     schema = "vec_id long, v array<double>, cell int, far double, query_cell int, query_far double"
-    placed = materialize(ready.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(_assign(pivots, top, dims), schema), "placed")
+    placed = materialize(ready.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(released(_assign(pivots, top, dims)), schema), "placed")
     asks = placed.where(F.pmod("vec_id", F.lit(every)) == 0)
     near = placed.select("cell", "far", F.row_number().over(Window.partitionBy("cell").orderBy("far")).alias("n")).where(F.col("n") <= k + 1)
     nearest: list[list[float]] = [[] for _ in pivots]

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyflow.llm.common import released
+
 #: Labelled findings that the forest is fitted on at most, its trees, their depth, and words on either side of a candidate.
 ROWS = 6000
 TREES = 25
@@ -243,7 +245,7 @@ def scan(docs: DataFrame, scanner: Scanner, id_column: str = "doc_id", text_colu
                 yield pa.record_batch([ids, *cells, pa.array(np.round(p, 6), pa.float64()), pa.array(p >= scanner.limit, pa.bool_())], names=names)
 
     kind = dict(frame.dtypes)["doc_id"]
-    return frame.mapInArrow(run, f"doc_id {kind}, start long, end long, value string, chance double, is_secret boolean")
+    return frame.mapInArrow(released(run), f"doc_id {kind}, start long, end long, value string, chance double, is_secret boolean")
 
 
 def sample_findings(spark: SparkSession, rows: int = 2400, seed: int = 11) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyflow.llm.common import materialize
+from keyflow.llm.common import materialize, released
 from keyflow.llm.components import components, local_stars
 from keyflow.llm.words import scan, slices, xxh64_spans
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 yield pa.record_batch([part.column(0), pa.array(signatures(part.column(1), width).view(np.int64))], names=["doc_id", "fp"])
 
     frame = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return frame.mapInArrow(run, f"doc_id {dict(frame.dtypes)['doc_id']}, fp long")
+    return frame.mapInArrow(released(run), f"doc_id {dict(frame.dtypes)['doc_id']}, fp long")
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ def links(distinct: DataFrame, limit: int = 4) -> DataFrame:
                 cell, row = cells(fps)
                 yield pa.record_batch([pa.array(cell), pa.array(fps[row].view(np.int64))], names=["cell", "fp"])
 
-    placed = distinct.select("fp").mapInArrow(emit, "cell long, fp long")
+    placed = distinct.select("fp").mapInArrow(released(emit), "cell long, fp long")
     # A cell above CELL_ROWS is cut into parts; each pair of parts meets under a key of its own.
     crowded = materialize(placed.groupBy("cell").count().where(F.col("count") > CELL_ROWS), "crowded")
     n = F.ceil(F.col("count") / F.lit(CELL_ROWS)).cast("long")
@@ -189,7 +189,7 @@ def links(distinct: DataFrame, limit: int = 4) -> DataFrame:
         joined = placed.join(crowded, "cell", "left")
         keyed = joined.select("cell", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)).alias("pair"), "fp")
     spread = keyed.select("cell", "pair", "fp").repartition("cell", "pair").sortWithinPartitions("cell", "pair")
-    return spread.mapInArrow(_solve(limit), "a long, b long").distinct()
+    return spread.mapInArrow(released(_solve(limit)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, limit: int = 4) -> DataFrame:

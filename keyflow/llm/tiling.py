@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyflow.llm.common import released
 from keyflow.llm.words import slices
 
 WIDTH = 5
@@ -219,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
                     ids = some.column("doc_id").take(pa.array(rows, pa.int64()))
                     yield pa.record_batch([ids, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-        out = out.unionByName(frame.mapInArrow(run, schema))
+        out = out.unionByName(frame.mapInArrow(released(run), schema))
     return out
 
 
@@ -235,5 +236,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
             for batch in batches:
                 yield batch.filter(pa.array([not _covers(b, _numbers(b, t), coverage) for t in batch.column(place).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(released(run), docs.schema)
     return out

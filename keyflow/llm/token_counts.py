@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyflow.llm.common import text_of
+from keyflow.llm.common import released, text_of
 from keyflow.llm.encoders import memo, spaced
 from keyflow.llm.words import slices
 
@@ -65,7 +65,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_column: str = "
     stored = _stored(spark, cache, mark)
     misses = frame if stored is None else frame.join(stored, "digest", "left_anti")
     texts = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    counted = texts.mapInArrow(_count(tokenizer), "digest binary, n_tokens long")
+    counted = texts.mapInArrow(released(_count(tokenizer)), "digest binary, n_tokens long")
     counted.select(F.lit(mark).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     known = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == mark)
     if stored is not None:

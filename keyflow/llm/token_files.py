@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyflow.llm.common import partitions, text_of
+from keyflow.llm.common import partitions, released, text_of
 from keyflow.llm.encoders import id_bytes, memo, words
 from keyflow.llm.words import slices
 
@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     dealt = frame.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     kind = dict(frame.dtypes)["doc_id"]
     schema = f"part int, doc_id {kind}, local_start long, n_tokens long, ids array<int>"
-    dealt.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), schema).write.options(**ORC_OPTIONS).orc(f"{path}/ids")
+    dealt.select("doc_id", "text").mapInArrow(released(_encode(tokenizer, end_id)), schema).write.options(**ORC_OPTIONS).orc(f"{path}/ids")
     totals = spark.read.schema(schema).orc(f"{path}/ids").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
     rows, at = [], 0
     for part, n in sorted(totals):
@@ -92,4 +92,4 @@ def checksums(tokens: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": pa.array(np.diff(offsets).astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
 
     kind = dict(tokens.dtypes)["doc_id"]
-    return tokens.select("doc_id", "start", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "ids").mapInArrow(released(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

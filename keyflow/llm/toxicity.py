@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyflow.llm.common import released
 from keyflow.llm.words import slices
 
 CATEGORIES = ("quality", "toxic")
@@ -27,7 +28,7 @@ FEATURES = 1536
 FOLDS = 4
 _SPACE = 1 << 22
 _PREFIXES = (4, 5, 6)
-_MEMO = 400_000
+_MEMO = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -158,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     kinds = dict(whole.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ["doc_id", *names]) + ", features array<int>"
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", *names, "text")
-    got = sorted(joined.mapInArrow(run, schema).toArrow().to_pylist(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["features"]))
+    got = sorted(joined.mapInArrow(released(run), schema).toArrow().to_pylist(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["features"]))
     present = [np.array(r["features"], np.int32) for r in got]
     return fit_chain(present, np.array([[int(r[c]) for c in names] for r in got]).reshape(len(got), len(names)), categories)
 
@@ -209,7 +210,7 @@ def score(docs: DataFrame, chain: Chain, id_column: str = "doc_id", text_column:
                 yield pa.record_batch([some.column("doc_id"), *(pa.array(np.round(x, 6)) for x in p.T), pa.array(p[:, c] >= chain.limits[c])], names=names)
 
     kind = dict(frame.dtypes)["doc_id"]
-    return frame.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} double" for x in names[1:-1]) + ", flagged boolean")
+    return frame.mapInArrow(released(run), f"doc_id {kind}, " + ", ".join(f"{x} double" for x in names[1:-1]) + ", flagged boolean")
 
 
 def keep_clean(docs: DataFrame, chain: Chain, text_column: str = "text", category: str = "toxic") -> DataFrame:
@@ -219,8 +220,7 @@ def keep_clean(docs: DataFrame, chain: Chain, text_column: str = "text", categor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(chain)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
+            for some in slices(batch, batch.schema.names[place]):
                 yield some.filter(pa.array(scorer(some.column(place).to_pylist())[:, c] < chain.limits[c]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -39,9 +40,9 @@ class Words:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text each, one row at least."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     begin, total = 0, 0
-    for i, size in enumerate(sizes):
+    for i, size in enumerate(sizes.to_pylist()):
         if i > begin and total + size > limit:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
