@@ -6,8 +6,8 @@ bucket, so a passage in a third of all texts adds one hash a chunk, not one a te
 chunks sent and answers one bit for each. The chunk, read again, turns bits into intervals. Chunks and buckets grow in
 number with the input and not in size.
 
-Hashes have 64 bits (a polynomial over XXH64 of the words, mixed at the end): of n distinct windows, n * n / 2**65 pairs
-are expected to collide by chance, one in 2,000 runs over 0.5 GB.
+A hash has 88 bits: 64 of one polynomial over XXH64 of the words, mixed at the end, and 24 of another. Of n distinct
+windows n * n / 2**89 pairs are expected to collide by chance: about one pair in 100 TB, none to speak of below.
 """
 
 from __future__ import annotations
@@ -23,30 +23,51 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from keyflow.llm.common import partitions
 from keyflow.llm.words import Words, scan, xxh64_spans
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Bytes of the second polynomial that a hash keeps.
+_MORE = 3
 #: Bytes of text in a chunk, and distinct hashes in a bucket, on average.
 CHUNK_BYTES = 8 << 20
 BUCKET_HASHES = 1 << 20
 _SCHEMA = "doc_id {id}, n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept string"
 
 
-def window_hashes(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of every window of ``width`` words that lies in one text."""
-    n = len(w.start)
-    if n < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    value = xxh64_spans(w.buf, w.start, w.end, 7)
-    power = np.cumprod(np.full(n, _BASE, np.uint64))
-    back = np.cumprod(np.full(n, _INVERSE, np.uint64))
+def _polynomial(value: np.ndarray, base: int, at: np.ndarray, width: int) -> np.ndarray:
+    """The mixed polynomial of each window: prefix sums of value * base**i, shifted back by base**-at."""
+    n = len(value)
+    power = np.cumprod(np.full(n, base, np.uint64))
+    back = np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64))
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(value * power, out=prefix[1:])
-    limit = np.repeat(w.first[1:], w.counts)
-    at = np.flatnonzero(np.arange(n) + width <= limit)
     h = (prefix[at + width] - prefix[at]) * back[at]
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return at, h ^ (h >> np.uint64(31))
+    return h ^ (h >> np.uint64(31))
+
+
+def window_hashes(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash, more of the hash) of every window of ``width`` words that lies in one text."""
+    n = len(w.start)
+    if n < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    value = xxh64_spans(w.buf, w.start, w.end, 7)
+    at = np.flatnonzero(np.arange(n) + width <= np.repeat(w.first[1:], w.counts))
+    more = _polynomial(value ^ (value >> np.uint64(32)), _BASES[1], at, width) >> np.uint64(64 - 8 * _MORE)
+    return at, _polynomial(value, _BASES[0], at, width), more.astype(np.uint32)
+
+
+def _grouped(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): an order in which equal hashes stand together, and which places of it start a new hash."""
+    order = np.argsort(h)
+    a, b = h[order], more[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((more, h))
+        a, b = h[order], more[order]
+        same = a[1:] == a[:-1]
+    first = np.ones(len(h), bool)
+    first[1:] = ~(same & (b[1:] == b[:-1]))
+    return order, first
 
 
 def _bounds(distinct: np.ndarray, buckets: int) -> np.ndarray:
@@ -56,37 +77,59 @@ def _bounds(distinct: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(distinct, edges), len(distinct))
 
 
+def _pack(h: np.ndarray, more: np.ndarray, buckets: int) -> bytes:
+    """The bytes of some hashes of a bucket, less the top byte where the bucket's number has it."""
+    n = 7 if buckets >= 256 else 8
+    return h.view(np.uint8).reshape(-1, 8)[:, :n].tobytes() + more.view(np.uint8).reshape(-1, 4)[:, :_MORE].tobytes()
+
+
+def _unpack(raw: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes packed by ``_pack``; a top byte that isn't there is 0, which tells no two of a bucket apart."""
+    n = 7 if buckets >= 256 else 8
+    size = len(raw) // (n + _MORE)
+    cells = np.frombuffer(raw, np.uint8)
+    h, more = np.zeros((size, 8), np.uint8), np.zeros((size, 4), np.uint8)
+    h[:, :n] = cells[: n * size].reshape(size, n)
+    more[:, :_MORE] = cells[n * size :].reshape(size, _MORE)
+    return h.view(np.uint64).ravel(), more.view(np.uint32).ravel()
+
+
 def _hash_texts(buckets: int, width: int):
     def run(group: pa.Table) -> pa.Table:
-        texts = group.column("text").combine_chunks()
-        distinct = np.unique(window_hashes(scan(texts), width)[1])
-        bounds = _bounds(distinct, buckets)
+        _, h, more = window_hashes(scan(group.column("text").combine_chunks()), width)
+        order, first = _grouped(h, more)
+        order = order[first]
+        h, more = h[order], more[order]
+        bounds = _bounds(h, buckets)
         full = np.flatnonzero(np.diff(bounds))
         chunk = group.column("chunk")[0].as_py()
         return pa.table({
             "bucket": pa.array(full, pa.int64()),
             "chunk": pa.array(np.full(len(full), chunk, np.int64)),
-            "hashes": pa.array([distinct[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary()),
+            "hashes": pa.array([_pack(h[bounds[b] : bounds[b + 1]], more[bounds[b] : bounds[b + 1]], buckets) for b in full], pa.binary()),
         })
 
     return run
 
 
-def _find_repeated(group: pa.Table) -> pa.Table:
-    """Of the hashes that each chunk sent to a bucket, those that another chunk sent too, as bits."""
-    sent = [np.frombuffer(x.as_buffer(), np.uint64) for c in group.column("hashes").chunks for x in c]
-    every = np.sort(np.concatenate(sent))
-    repeated = np.unique(every[1:][every[1:] == every[:-1]])
-    del every
-    keep, bits = [], []
-    if len(repeated):
-        for i, h in enumerate(sent):
-            found = repeated[np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)] == h
+def _find_repeated(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Of the hashes that each chunk sent to a bucket, those that another chunk sent too, as bits."""
+        sent = [_unpack(x.as_buffer(), buckets) for c in group.column("hashes").chunks for x in c]
+        ends = np.cumsum([len(h) for h, _ in sent])
+        order, first = _grouped(np.concatenate([h for h, _ in sent]), np.concatenate([m for _, m in sent]))
+        last = np.append(first[1:], True)
+        repeated = np.zeros(len(order), bool)
+        repeated[order] = ~(first & last)
+        keep, bits = [], []
+        for i, found in enumerate(np.split(repeated, ends[:-1])):
             if found.any():
                 keep.append(i)
                 bits.append(np.packbits(found).tobytes())
-    part = group.select(["chunk", "bucket"]).take(pa.array(keep, pa.int64()))
-    return part.append_column("bits", pa.array(bits, pa.binary()))
+        part = group.select(["chunk", "bucket"]).take(pa.array(keep, pa.int64()))
+        return part.append_column("bits", pa.array(bits, pa.binary()))
+
+    return run
 
 
 def _spans(covered: np.ndarray) -> list[dict]:
@@ -100,14 +143,15 @@ def _remove(buckets: int, width: int, schema: pa.Schema):
             return schema.empty_table()
         texts = group.column("text").combine_chunks()
         w = scan(texts)
-        at, hashes = window_hashes(w, width)
-        distinct, place, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        repeated = count > 1
-        bounds = _bounds(distinct, buckets)
+        at, h, more = window_hashes(w, width)
+        order, first = _grouped(h, more)
+        place = np.cumsum(first) - 1  # of each window, in that order, among the distinct hashes
+        repeated = np.bincount(place) > 1 if len(place) else np.zeros(0, bool)
+        bounds = _bounds(h[order[first]], buckets)
         for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
             a, b = bounds[bucket], bounds[bucket + 1]
             repeated[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        at = at[repeated[place]]
+        at = at[order[repeated[place]]]
         change = np.zeros(len(w.start) + width + 1, np.int64)
         np.add.at(change, at, 1)
         np.add.at(change, at + width, -1)
@@ -146,7 +190,7 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
     buckets = 1 << (max(least, size // 6 // BUCKET_HASHES, 2) - 1).bit_length()
     dealt = frame.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))
     sent = dealt.groupBy("chunk").applyInArrow(_hash_texts(buckets, width), "bucket long, chunk long, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(_find_repeated, "chunk long, bucket long, bits binary")
+    answers = sent.groupBy("bucket").applyInArrow(_find_repeated(buckets), "chunk long, bucket long, bits binary")
     kind = dict(frame.dtypes)["doc_id"]
     schema = spark.createDataFrame([], _SCHEMA.format(id=kind)).schema
     back = _remove(buckets, width, to_arrow_schema(schema))

@@ -1,8 +1,10 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from keyflow.llm import substrings
 from keyflow.llm.substrings import remove_repeated
 from tests.llm.fixtures import documents, empty, rows
 
@@ -31,3 +33,20 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     found = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in remove_repeated(docs).collect())
     assert found == [(0, 2, 0), (1, 40, 40), (1, 40, 40), (2, 0, 0)]
     assert remove_repeated(empty(spark)).count() == 0
+
+
+def test_many_buckets_give_the_same(spark, monkeypatch):
+    few = sorted(map(str, remove_repeated(documents(spark)).collect()))
+    monkeypatch.setattr(substrings, "BUCKET_HASHES", 4)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 900)
+    assert sorted(map(str, remove_repeated(documents(spark)).collect())) == few
+
+
+def test_hashes_that_agree_in_part_are_told_apart():
+    h = np.array([5, 7, 5, 5, 9, 5], np.uint64)
+    more = np.array([1, 1, 2, 1, 1, 2], np.uint32)
+    order, first = substrings._grouped(h, more)
+    assert sorted(zip(h[order][first].tolist(), more[order][first].tolist(), strict=True)) == [(5, 1), (5, 2), (7, 1), (9, 1)]
+    for buckets in (4, 256):
+        a, b = substrings._unpack(substrings._pack(h, more, buckets), buckets)
+        assert a.tolist() == h.tolist() and b.tolist() == more.tolist()
