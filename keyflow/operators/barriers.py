@@ -44,6 +44,24 @@ def size(plans: str) -> Column:
     return F.lit(33) + F.size(plans) * 300
 
 
+_PLANS = "array<struct<partition_id:int,source:int,target:int>>"
+_FIELDS = f"migration_id bigint, checkpoint_id bigint, plans {_PLANS}"
+
+
+def standalone(migrations: DataFrame) -> DataFrame:
+    """Barriers of migrations (migration_id, plans) that belong to no checkpoint: their id is below 0."""
+    return migrations.select("migration_id", (-F.col("migration_id") - 1).alias("checkpoint_id"), "plans")
+
+
+def encode(barriers: DataFrame) -> DataFrame:
+    """Each barrier as one JSON text, without loss."""
+    return barriers.select(F.to_json(F.struct("migration_id", "checkpoint_id", "plans")).alias("message"))
+
+
+def decode(messages: DataFrame) -> DataFrame:
+    return messages.select(F.from_json("message", _FIELDS).alias("b")).select("b.*")
+
+
 def waiting(records: DataFrame, partitions: list[int], barrier_seq: float) -> DataFrame:
     """The records behind the barrier of migrating partitions; ``seq`` is their order."""
     return records.where(F.col("key_group").isin(partitions) & (F.col("seq") > barrier_seq))

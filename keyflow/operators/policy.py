@@ -112,6 +112,11 @@ def cooled(decisions: DataFrame, period_ms: int, *by: str) -> DataFrame:
     return acts.join(kept, [*by, "__t"], "left_semi").drop("__t")
 
 
+def retry_delays(attempts: DataFrame, base_ms: int = 1000) -> DataFrame:
+    """How long to wait after each failed attempt (from 0): it grows by ``base_ms`` each time."""
+    return attempts.select("attempt", ((F.col("attempt") + 1) * base_ms).cast("long").alias("delay_ms"))
+
+
 def scaling_history(decisions: DataFrame, keep: int = 100) -> DataFrame:
     """The latest ``keep`` actions."""
     return decisions.where(F.col("decision") != "NONE").orderBy(F.desc("hour")).limit(keep)

@@ -245,4 +245,7 @@ FROM ev JOIN started ON started.partition_id = ev.key_group""",
 SELECT 'before' AS side, n FROM n UNION ALL SELECT 'after', n FROM n UNION ALL SELECT 'missing', 0 UNION ALL SELECT 'extra', 0""",
     "service_status": f"""WITH {_JOBS}, {_STARTED.removeprefix(_EV + ', ')}
 SELECT 'history_size' AS name, least(count(*), 100) AS n FROM policy WHERE hour IS NOT NULL AND decision <> 'NONE' UNION ALL SELECT 'active_migrations', count(*) FROM started""",
+    "retry_delays": "SELECT CAST(i AS INTEGER) AS attempt, (i + 1) * 1000 AS delay_ms FROM range(3) r(i)",
+    "barrier_messages": f"""WITH {_EV} SELECT migration_id, CASE WHEN migration_id % 2 = 0 THEN -migration_id - 1 ELSE migration_id END AS checkpoint_id,
+  key_group AS partition_id, subtask AS source, (subtask + 1) % 4 AS target FROM ev""",
 }

@@ -399,6 +399,16 @@ def migration_equivalence(spark, folder):
     return migration.differences(changelog.snapshot(_log(spark, folder)), after)
 
 
+def retry_delays(spark, folder):
+    return policy.retry_delays(spark.range(3).select(F.col("id").cast("int").alias("attempt")))
+
+
+def barrier_messages(spark, folder):
+    """Plans of barriers after a trip through their messages."""
+    back = barriers.decode(barriers.encode(_barriers(spark, folder)))
+    return back.select("migration_id", "checkpoint_id", F.explode("plans").alias("p")).select("migration_id", "checkpoint_id", "p.*")
+
+
 def service_status(spark, folder):
     history = scaling_history(spark, folder).agg(F.count("*").alias("history_size"))
     active = start_migrations(spark, folder).agg(F.count("*").alias("active_migrations"))
@@ -416,6 +426,6 @@ QUERIES = {
         scale_out_plan, scale_in_plan, rebalance_plan, filter_overlapping, reject_overlapping, start_migrations, barrier_alignment, blocked_channels, barrier_kinds,
         barrier_size, affected_partitions, plan_for_partition, barrier_match, post_barrier_buffer, flush_order, buffer_stats, buffer_overflow, state_flags,
         transition_matrix, migration_history, illegal_transitions, migration_progress, timeouts, target_after_commit, source_after_commit, abort_rollback,
-        migration_equivalence, service_status,
+        migration_equivalence, service_status, retry_delays, barrier_messages,
     )
 }
