@@ -31,6 +31,8 @@ SCALE = 64
 PIVOTS = 48
 BLOCK_QUERIES = 1024
 CHUNK_ROWS = 16_384
+#: Rows that share one query's id up to which bounds are derived; beyond that every row is sent to every block.
+MOST_OWN = 200
 
 
 def quantized(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -153,9 +155,12 @@ def _same_length(ready: DataFrame, dims: int, k: int, every: int) -> DataFrame:
     schema = "vec_id long, v array<double>, cell int, far double, query_cell int, query_far double"
     placed = materialize(ready.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(released(_assign(pivots, top, dims)), schema), "placed")
     asks = placed.where(F.pmod("vec_id", F.lit(every)) == 0)
-    near = placed.select("cell", "far", F.row_number().over(Window.partitionBy("cell").orderBy("far")).alias("n")).where(F.col("n") <= k + 1)
+    # A query's own rows are no neighbours: so many nearer ones are left out of account.
+    own = asks.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    needed = k + own if own <= MOST_OWN else 0
+    near = placed.select("cell", "far", F.row_number().over(Window.partitionBy("cell").orderBy("far")).alias("n")).where(F.col("n") <= needed)
     nearest: list[list[float]] = [[] for _ in pivots]
-    for cell, far in near.select("cell", "far").collect():  # k + 1 numbers for each pivot at most
+    for cell, far in near.select("cell", "far").collect():  # k + MOST_OWN numbers for each pivot at most
         nearest[cell].append(far)
     summary = asks.groupBy("query_cell").agg(F.max("query_far"), F.count("*")).collect()
     if not summary:
@@ -164,7 +169,7 @@ def _same_length(ready: DataFrame, dims: int, k: int, every: int) -> DataFrame:
     for cell, far, _ in summary:
         radius[cell] = far
     between = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
-    bound = _bounds(between, radius, nearest, k)
+    bound = _bounds(between, radius, nearest, k + own - 1)
     blocks, of = _pack({cell: n for cell, _, n in summary})
     # A row of cell j at distance d from its pivot can be within bound[i] of a query of cell i only if
     # between - radius - bound <= d <= between + radius + bound; a block takes the widest such range of its cells.

@@ -47,6 +47,13 @@ def test_fewer_candidates_and_empty_tables(spark):
     assert knn.top_k(spark.createDataFrame([(1, [1.0], 0, 0, "x")], SCHEMA)).count() == 0
 
 
+def test_rows_that_share_a_querys_id_are_no_neighbours(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)], 0, 0, "x") for i in range(1, 120)] + [(0, [0.9, 0.9, 0.9], 0, 0, "x")] * 40
+    found = knn.top_k(spark.createDataFrame(rows, SCHEMA)).where("query_id = 0")
+    assert [tuple(r)[:3] for r in sorted(found.select("query_id", "rank", "vec_id").collect())] == [x[:3] for x in sorted(set(brute(rows, 20))) if x[0] == 0]
+
+
 def test_bounds_prune(spark):
     """Far groups are not sent to a block whose queries have their neighbours near."""
     import numpy as np
