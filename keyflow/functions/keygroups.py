@@ -5,7 +5,7 @@ Products of 32-bit numbers are taken in two halves, so nothing overflows a long
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MASK = 0xFFFFFFFF
@@ -29,13 +29,43 @@ def _signed(a: Column) -> Column:
     return F.when(a >= 1 << 31, a - (1 << 32)).otherwise(a).cast("int")
 
 
+# Fixed values of Murmur3: the steps of its 32-bit hash of one block and their constants.
+_STEPS = (
+    lambda a: _times(a, 0xCC9E2D51),
+    lambda a: _rotate(a, 15),
+    lambda a: _times(a, 0x1B873593),
+    lambda a: _rotate(a, 13),
+    lambda a: (_times(a, 5) + 0xE6546B64).bitwiseAND(F.lit(_MASK)).bitwiseXOR(F.lit(4)),
+    lambda a: _fold(a, 16),
+    lambda a: _times(a, 0x85EBCA6B),
+    lambda a: _fold(a, 13),
+    lambda a: _times(a, 0xC2B2AE35),
+    lambda a: _fold(a, 16),
+)
+
+
 def murmur(value: Column) -> Column:
-    """Murmur3-32 with seed 0 of an int, as a signed int; null for null."""
-    # Fixed values of Murmur3.
-    k = _times(_rotate(_times(value.cast("long").bitwiseAND(F.lit(_MASK)), 0xCC9E2D51), 15), 0x1B873593)
-    h = (_times(_rotate(k, 13), 5) + 0xE6546B64).bitwiseAND(F.lit(_MASK)).bitwiseXOR(F.lit(4))
-    h = _fold(_times(_fold(h, 16), 0x85EBCA6B), 13)
-    return _signed(_fold(_times(h, 0xC2B2AE35), 16))
+    """Murmur3-32 with seed 0 of an int, as a signed int; null for null.
+
+    Each step is bound once, so the expression grows with the steps and not with the powers of two of their uses.
+    """
+    h = F.array(value.cast("long").bitwiseAND(F.lit(_MASK)))
+    for step in (*_STEPS, _signed):
+        h = F.transform(h, step)
+    return F.element_at(h, 1)
+
+
+def with_murmur(frame: DataFrame, value: Column, name: str) -> DataFrame:
+    """``frame`` with the hash of an int column: a projection for each step, which stay in generated code."""
+    out = frame.withColumn(name, value.cast("long").bitwiseAND(F.lit(_MASK)))
+    for step in (*_STEPS, _signed):
+        out = out.withColumn(name, step(F.col(name)))
+    return out
+
+
+def with_key_group(frame: DataFrame, hash_code: Column, groups: int, name: str) -> DataFrame:
+    """``frame`` with the group of a key by its hash code, as ``key_group`` gives it."""
+    return with_murmur(frame, hash_code, name).withColumn(name, F.abs(F.col(name) % groups).cast("int"))
 
 
 def hash_of_long(value: Column) -> Column:

@@ -161,12 +161,13 @@ def late_rows(spark, folder):
 
 
 def murmur(spark, folder):
-    return tables.events(spark, folder).select("event_id", keygroups.murmur(F.col("event_id").cast("int")).alias("hash"))
+    return keygroups.with_murmur(tables.events(spark, folder).select("event_id"), F.col("event_id").cast("int"), "hash")
 
 
 def key_groups(spark, folder):
-    code = keygroups.hash_of_long(F.col("event_id"))
-    return tables.events(spark, folder).select("event_id", "key", keygroups.hash_of_string(F.col("key")).alias("key_hash"), keygroups.key_group(code, 128).alias("key_group"), keygroups.key_group(keygroups.hash_of_string(F.col("key")), 128).alias("string_group"))
+    events = tables.events(spark, folder).select("event_id", "key").withColumn("key_hash", keygroups.hash_of_string(F.col("key")))
+    grouped = keygroups.with_key_group(events, keygroups.hash_of_long(F.col("event_id")), 128, "key_group")
+    return keygroups.with_key_group(grouped, F.col("key_hash"), 128, "string_group")
 
 
 def default_routes(spark, folder):

@@ -32,6 +32,8 @@ def test_murmur_of_any_int(spark):
     for r in frame.select("v", keygroups.murmur(F.col("v")).alias("h"), keygroups.key_group(F.col("v"), 128).alias("g")).collect():
         assert r.h == java_murmur(r.v)
         assert r.g == abs(r.h) % 128
+    staged = keygroups.with_key_group(keygroups.with_murmur(frame, F.col("v"), "h"), F.col("v"), 128, "g")
+    assert all(r.h == java_murmur(r.v) and r.g == abs(r.h) % 128 for r in staged.collect())
 
 
 def test_string_hash(spark):
