@@ -3,8 +3,8 @@
 Every document of a source is to be copied target / source size times. The whole part is taken at once; the fraction is
 rounded by pivotal steps: two documents of a source meet, and mass goes from one to the other, in words, until one of
 them has a whole number of copies; which way is drawn so that each fraction is kept in expectation. A step leaves the
-words taken from the source as they were, so the whole source misses its target by half a document at most: the one document that is left is rounded to the nearer
-whole number.
+words taken from the source as they were, so the whole source misses its target by half a document at most: the one
+document that is left is rounded to the nearer whole number.
 
 The steps form a reduction tree: documents meet in groups of about ``GROUP``, each of which settles all its members but
 one; the ones left meet in the next level, until a source has one. A level is one shuffle of slim rows, and a source with
@@ -31,7 +31,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 
     Sources by code point, null last, have ``weights`` in turn and share all words by them; a target stops at ``most``
     times its source, and what is over goes to the others by weight until none is above. Sources in order of the ratio
-    of that stop to their weight: those below the level that the rest would share are the ones that stop.
+    of that stop to their weight: those below the level that the rest would share are the ones that stop. The table of
+    sources is ranked in one task, a row for each source: up to some ten million of them are no burden.
     """
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
@@ -104,8 +105,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     left over. Rows that repeat are told apart by their number, so a repeat may have other copies; an empty table gives
     an empty result; a source without words has target 0 and no copies. Other columns are not read.
     """
-    words = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(_WORD)).cast("long")
-    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), words.alias("size"))
+    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), _words(text_column).alias("size"))
     kind = dict(sized.dtypes)["doc_id"]
     sized = materialize(sized, "sizes")
     # Rows that repeat get numbers, so that draws depend on the rows alone.
@@ -157,13 +157,51 @@ def _key(*columns: Column) -> Column:
     return F.concat_ws("\x00", *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns))
 
 
+def _words(text_column: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(_WORD)).cast("long")
+
+
+def _digest(docs: DataFrame) -> Column:
+    """A hash of the whole row; maps, which have no hash, as JSON."""
+    return F.xxhash64(*(F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in docs.dtypes))
+
+
+def _shares(docs: DataFrame, mixed: DataFrame, id_column: str, text_column: str, source_column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their key, size and hash; for each (key, size, hash): low, taken, same): ``same`` rows get ``low`` copies
+    each and ``taken`` of them one more.
+
+    Copies of rows that share id, source and size differ by one at most, as their source has one share: the rows with the
+    smallest hashes get the greater number. The running sum that finds them goes by buckets of the hash, so that not even
+    all rows of a null id meet in one task.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col(id_column), F.col(source_column)).alias("key"), _words(text_column).alias("size"), _digest(docs).alias("hash"))
+    plan = mixed.groupBy(_key(F.col("doc_id"), F.col("source")).alias("key"), "size").agg(F.min("copies").alias("low"), F.sum("copies").alias("all"), F.count("*").alias("n"))
+    plan = plan.select("key", "size", "low", (F.col("all") - F.col("n") * F.col("low")).alias("more"))
+    sets = keyed.groupBy("key", "size", "hash").agg(F.count("*").alias("same")).withColumn("bucket", F.shiftright("hash", 52))
+    buckets = sets.groupBy("key", "size", "bucket").agg(F.sum("same").alias("rows"))
+    earlier = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select("key", "size", "bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    here = Window.partitionBy("key", "size", "bucket").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sets.join(buckets, ["key", "size", "bucket"]).join(plan, ["key", "size"])
+    before = F.col("before") + F.coalesce(F.sum("same").over(here), F.lit(0))
+    taken = F.least(F.greatest(F.col("more") - before, F.lit(0)), F.col("same"))
+    return keyed, materialize(placed.select("key", "size", "hash", "low", taken.alias("taken"), "same"), "shares")
+
+
 def repeat(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mixed`` says, columns as they were.
 
-    Rows that share id and source take the copies of such rows in the order of their texts.
+    Rows that share id, source and size have the copies of such rows, more of them for the rows with the smaller hashes;
+    so the words of the result are those that the mix takes. Rows that are the same in all columns are interchangeable.
+    Only identical rows of which some but not all get one more are numbered.
     """
-    copies = mixed.groupBy(_key(F.col("doc_id"), F.col("source")).alias("key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col(id_column), F.col(source_column)).alias("key"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.col("row")[text_column]))
-    joined = keyed.withColumn("nth", nth).join(copies, "key").withColumn("n", F.element_at("copies", F.col("nth")))
-    return joined.where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("row.*")
+    keyed, shares = _shares(docs, mixed, id_column, text_column, source_column)
+    key = ["key", "size", "hash"]
+    split = (F.col("taken") > 0) & (F.col("taken") < F.col("same"))
+    every = keyed.join(shares.where(~split), key).select("row", (F.col("low") + F.when(F.col("taken") > 0, 1).otherwise(0)).alias("n"))
+    some = shares.where(split)
+    if not some.isEmpty():
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+        numbered = keyed.join(some, key).withColumn("nth", nth)
+        every = every.unionByName(numbered.select("row", (F.col("low") + F.when(F.col("nth") <= F.col("taken"), 1).otherwise(0)).alias("n")))
+    return every.where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("row.*")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from keyflow.llm import mixing
+from keyflow.llm.common import materialize
 from tests.llm.fixtures import documents, empty, rows
 
 
@@ -72,7 +73,37 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert mixing.repeat(empty(spark), mixing.mix(empty(spark))).count() == 0
 
 
-def test_main_path_has_no_python(spark):
+def words(frame):
+    return sum(len((r.text or "").split()) for r in frame.select("text").collect())
+
+
+def test_repeated_ids_have_the_words_of_the_mix(spark):
+    """Rows that share an id and source but not their size, rows without an id, and rows that are the same in all columns."""
+    given = [(1, "w " * 10, "a", 1), (1, "w " * 1000, "a", 2), *((None, f"x{i} " * (1 + i % 4), "b", i) for i in range(60)), *([(7, "s t u", "c", 0)] * 25), (8, "v " * 300, "d", 0)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string, size int").repartition(5)
+    for seed in (1, 2, 3):
+        mixed = mixing.mix(docs, seed=seed)
+        result = mixing.repeat(docs, mixed)
+        assert result.columns == docs.columns
+        assert words(result) == sum(r.taken for r in mixed.collect())
+        taken = Counter()
+        for r in mixed.collect():
+            taken[r.doc_id, r["size"]] += r.copies
+        found = Counter((r.doc_id, len(r.text.split())) for r in result.collect())
+        assert found == +taken
+    again = mixing.repeat(docs.repartition(2, "text"), mixing.mix(docs, seed=3))
+    assert sorted(map(str, again.collect())) == sorted(map(str, result.collect()))
+
+
+def test_main_path_has_no_python(spark, monkeypatch):
+    """Neither in the last plan nor in any that is written on the way."""
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(mixing, "materialize", seen)
     docs = documents(spark)
-    plan = mixing.repeat(docs, mixing.mix(docs))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    plans.append(mixing.repeat(docs, mixing.mix(docs))._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any(re.search("Python|Pandas|Arrow", plan) for plan in plans)
