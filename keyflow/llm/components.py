@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a partial minimum per node and a join on the node; the edge table is written to the shared folder
-between steps, so lost executors repeat one step only. Nothing is collected but two numbers a round.
+between steps, so lost executors repeat one step only. Nothing is collected but three numbers a round. Nodes with more than
+``HUB_EDGES`` edges (there are as many as edges / ``HUB_EDGES`` at most) are joined by broadcast, so a component of a third of
+all nodes is no hot key.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from keyflow.llm.common import materialize
 
 
+#: Edges of a node from which it is joined apart.
+HUB_EDGES = 1 << 20
+
+
 def local_stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Replace edges by stars round the smallest node of each of their components: as many rows as nodes at most."""
     if not len(left):
@@ -35,7 +41,16 @@ def local_stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _lowest(edges: DataFrame, name: str) -> DataFrame:
-    return materialize(edges.groupBy("a").agg(F.min("b").alias("low")), name)
+    return materialize(edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), name)
+
+
+def _with_lowest(edges: DataFrame, low: DataFrame, count: int) -> DataFrame:
+    """``edges`` with the low of their a; ``count`` edges there are at most."""
+    if count <= HUB_EDGES:
+        return edges.join(low.drop("n"), "a")
+    hubs = F.broadcast(low.where(F.col("n") > HUB_EDGES).drop("n"))  # count / HUB_EDGES rows at most
+    rest = edges.join(hubs, "a", "left_anti").join(low.where(F.col("n") <= HUB_EDGES).drop("n"), "a")
+    return edges.join(hubs, "a").unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,17 +58,17 @@ def components(edges: DataFrame) -> DataFrame:
     node of the component, for each node that has an edge to another. Null ends are no nodes."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a") != F.col("b")).alias("ok"))
     edges = materialize(edges.where("ok").select("a", "b").distinct(), "edges")
-    seen = None
+    seen, count = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = _lowest(both, "large").withColumn("low", F.least("a", "low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = _with_lowest(both, low, 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = materialize(large.where("a != b").distinct(), "large-star")
         low = _lowest(large, "small")
-        small = large.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = _with_lowest(large, low, 2 * count).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(low.select("a", F.col("low").alias("b")))
         edges = materialize(small.distinct(), "small-star")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.xxhash64("b", "a") % 1000003))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+        seen, count = now, now[0]

@@ -1,7 +1,8 @@
-"""Near copies by resemblance: texts whose sets of shingles have a Jaccard similarity of ``share`` at least, exactly.
+"""The near copies that SimHash can't reach: texts whose sets of shingles have a Jaccard similarity of ``share`` at least.
 
-No limit of Hamming distance reaches every such pair (pairs at 0.8 are up to 13 of 64 bits apart in the tables, and
-nothing bounds that), so pairs are found by prefix filtering, which loses none. Steps:
+Part of operator 8 (``simhash.keep_one_similar``). No limit of Hamming distance reaches every such pair (pairs at 0.8 are
+up to 13 of 64 bits apart in the tables, and nothing bounds that), so what its links leave is found by prefix filtering,
+which loses no pair. Steps:
 
 1. Chunks of texts send each of their distinct shingle hashes once, packed by bucket; a bucket answers one bit for each:
    whether another chunk has it too (as in ``substrings``). A text with too many shingles of its own has no near copy.
@@ -9,8 +10,9 @@ nothing bounds that), so pairs are found by prefix filtering, which loses none.
    copies share one of the first few, so nodes meet in a cell for each of those.
 3. In a cell, sizes and sketches (parities of 1,024 buckets of shingles) rule out pairs: the sets differ in no fewer
    shingles than the sketches in bits. What remains is verified on the sets themselves.
-4. Two rounds verify a spanning forest of each cell and merge what is found, so that a large group costs rows in
-   proportion to its members; the last round verifies every remaining pair of nodes that are not yet joined.
+4. The links of SimHash are verified first; one round verifies a spanning forest of each cell and merges what is found,
+   so that a large group costs rows in proportion to its members; the last round verifies every remaining pair of nodes
+   that are not yet joined.
 
 Hashes have 64 bits.
 """
@@ -23,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -248,31 +250,32 @@ def _cells(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     return materialize(placed.join(sets.mapInArrow(released(_sketches), "node binary, size long, sketch binary"), "node"), "cells")
 
 
-def near_copies(sets: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """(node, root) of all nodes of ``sets`` (node, shingles) that are joined to another one, directly or through others."""
+def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sets are near copies."""
+    x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    return materialize(pairs.join(x, "a").join(y, "b").mapInArrow(released(_verify(share)), "a binary, b binary"), "found")
+
+
+def near_copies(sets: DataFrame, share: tuple[int, int], candidates: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of ``sets`` (node, shingles) that are joined to another one, directly or through others.
+    ``candidates`` (a, b) are verified first; whatever they are, no pair is lost."""
+    edges = _verified(candidates, sets, share)
+    roots = components(edges)
     cells = _cells(sets, share)
-    roots = edges = None
-    for full, backwards in ((False, False), (False, True), (True, False)):
-        known = cells.withColumn("comp", F.col("node"))
-        if roots is not None:
-            known = cells.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    for full, backwards in ((False, False), (True, False)):
+        known = cells.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         spread = known.select("hash", "pair", "node", "size", "sketch", "comp").repartition("hash", "pair").sortWithinPartitions("hash", "pair", "node")
         pairs = materialize(spread.mapInArrow(released(_pairs(share, full, backwards)), "a binary, b binary").distinct(), "pairs")
-        x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
-        found = materialize(pairs.join(x, "a").join(y, "b").mapInArrow(released(_verify(share)), "a binary, b binary"), "found")
-        edges = found if edges is None else edges.unionByName(found)
-        if roots is None or not found.isEmpty():
+        found = _verified(pairs, sets, share)
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
             roots = components(edges)
     return roots
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows of ``docs`` less all but one of each group of near copies: the one with the smallest id stays.
-
-    Near copies have a Jaccard similarity of ``share`` (a fraction) at least between their sets of shingles of ``width``
-    words, and so have those that are joined through others. Texts without words are copies of each other. All rows
-    without an id stay, as nothing tells them apart; of rows that repeat the id that stays, all stay.
-    """
+def alike(docs: DataFrame, id_column: str, text_column: str, width: int, share: tuple[int, int]) -> tuple[DataFrame, Column]:
+    """(doc_id, mark, node, shingles) of the rows that may have a near copy, and the mark as a column of ``docs``: a hash of
+    the text that tells rows with one id apart. ``shingles`` stands in one row of each node and chunk at least."""
     spark = docs.sparkSession
     mark = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
     frame = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), mark.alias("mark"))
@@ -285,11 +288,4 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     answers = sent.groupBy("bucket").applyInArrow(_find_repeated(buckets), "chunk long, bucket long, bits binary")
     schema = spark.createDataFrame([], f"doc_id {dict(frame.dtypes)['doc_id']}, mark long, node binary, shingles binary").schema
     back = _may_have_copies(buckets, width, share, to_arrow_schema(schema))
-    alike = materialize(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(back, schema), "alike")
-    sets = materialize(alike.where("shingles IS NOT NULL").dropDuplicates(["node"]).select("node", "shingles"), "sets")
-    rows = alike.select("doc_id", "mark", "node").join(near_copies(sets, share), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = materialize(rows.select("doc_id", "mark", "root"), "rooted")
-    stays = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("stays")), "stays")
-    drop = rows.join(stays, "root").where("doc_id != stays").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    drop = materialize(drop, "copies")
-    return docs.join(drop, (docs[id_column] == drop["_id"]) & (mark == drop["_mark"]), "left_anti").select(*docs.columns)
+    return materialize(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(back, schema), "alike"), mark

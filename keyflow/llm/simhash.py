@@ -1,13 +1,16 @@
 """Near-duplicate groups by SimHash fingerprints, linked through a segment-popcount embedding.
 
 A 64-bit fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance of two embeddings
-never exceeds the Hamming distance of the fingerprints. With a limit of 4 bits the embedding is cut into three blocks,
-of which one at least is within Manhattan distance 1, so a range join over a grid (one cell for each value of a block)
-finds every pair: a point whose block sum is even stays in its cell, one with an odd sum also visits the cells next to
-it. Points that meet in a cell are verified exactly by their Hamming distance.
+never exceeds the Hamming distance of the fingerprints. With a limit of 4 bits the embedding is cut into three blocks;
+the two that differ least are within Manhattan distance 2 together, so a range join over a grid (for each two blocks, one
+cell for each of their values, some 10^9 in use) finds every pair: points at distance 2 have a cell between them, so each
+visits its own cell and those next to it. Points that meet in a cell are verified exactly by their Hamming distance.
 
 Only distinct fingerprints are joined, so copies cost nothing; a cell yields stars (a row for each of its members at
 most), never all pairs; a cell with more than ``CELL_ROWS`` members is cut into parts which are joined pair by pair.
+
+``keep_one_similar`` takes the same links as candidates, verifies them on the sets of shingles, and has ``resemblance``
+find the pairs of that similarity which no limit of bits reaches.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyflow.llm import resemblance
 from keyflow.llm.common import materialize, released
 from keyflow.llm.components import components, local_stars
 from keyflow.llm.words import scan, slices, xxh64_spans
@@ -45,17 +49,23 @@ def signatures(texts: pa.Array, width: int = 4) -> np.ndarray:
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     word = np.repeat(w.first[rows] - begin, size) + np.arange(size.sum())
     last = np.minimum(word + width - 1, np.repeat(w.first[rows + 1] - 1, size))
-    hashes = xxh64_spans(w.buf, w.start[word], w.end[last], 42)
+    out[rows] = majority(xxh64_spans(w.buf, w.start[word], w.end[last], 42), size)
+    return out
+
+
+def majority(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bits that over half the hashes have, for each of consecutive runs of ``size`` (above 0) hashes. Bytes are added
+    up with a byte for each bit, 255 at a time."""
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     parts = -(-size // 255)
     part_of = np.concatenate([[0], np.cumsum(parts)[:-1]])
     cuts = np.repeat(begin, parts) + 255 * (np.arange(parts.sum()) - np.repeat(part_of, parts))
     columns = hashes.view(np.uint8).reshape(-1, 8)
-    bits = np.empty((len(rows), 64), bool)
+    bits = np.empty((len(size), 64), bool)
     for k in range(8):
         sums = np.add.reduceat(_SPREAD[columns[:, k]], cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
         bits[:, 8 * k : 8 * k + 8] = 2 * np.add.reduceat(sums, part_of, axis=0) > size[:, None]
-    out[rows] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4) -> DataFrame:
@@ -80,21 +90,20 @@ def embed(fps: np.ndarray) -> np.ndarray:
 
 
 def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, row of fps): the own cell of every fingerprint in each block, and the cells next to it if its sum is odd."""
-    grid, at = embed(fps), 0
+    """(cell, row of fps): for each two blocks the own cell of every fingerprint and the cells next to it."""
+    grid = embed(fps)
+    ends = np.cumsum((0, *BLOCKS))
     cell, row = [], []
     every = np.arange(len(fps))
-    for block, size in enumerate(BLOCKS):
-        part = grid[:, at : at + size]
-        at += size
-        power = 3 ** np.arange(size, dtype=np.int64)
-        own = part @ power + block * 3 ** max(BLOCKS)
-        odd = part.sum(axis=1) % 2 == 1
+    for pair, blocks in enumerate(((0, 1), (0, 2), (1, 2))):
+        part = np.hstack([grid[:, ends[b] : ends[b + 1]] for b in blocks])
+        power = 3 ** np.arange(part.shape[1], dtype=np.int64)
+        own = part @ power + pair * 3 ** (BLOCKS[0] + BLOCKS[1])
         cell.append(own)
         row.append(every)
-        for d in range(size):
+        for d in range(part.shape[1]):
             for step in (-1, 1):
-                on = np.flatnonzero(odd & (part[:, d] + step >= 0) & (part[:, d] + step <= 2))
+                on = np.flatnonzero((part[:, d] + step >= 0) & (part[:, d] + step <= 2))
                 cell.append(own[on] + step * power[d])
                 row.append(on)
     return np.concatenate(cell), np.concatenate(row)
@@ -172,8 +181,8 @@ def links(distinct: DataFrame, limit: int = 4) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 50_000):
-                fps = batch.column(0).slice(i, 50_000).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, batch.num_rows, 10_000):
+                fps = batch.column(0).slice(i, 10_000).to_numpy(zero_copy_only=False).view(np.uint64)
                 cell, row = cells(fps)
                 yield pa.record_batch([pa.array(cell), pa.array(fps[row].view(np.int64))], names=["cell", "fp"])
 
@@ -219,3 +228,43 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     groups = near_duplicates(docs, id_column, text_column, **options)
     drop = materialize(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
     return docs.join(drop.withColumnRenamed("doc_id", id_column), id_column, "left_anti").select(*docs.columns)
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are linked, as stars: the nodes of a fingerprint round one of them, and these."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")]
+                size = np.array([len(x) for x in shingles], np.int64)
+                fps = np.zeros(len(size), np.uint64)
+                if size.any():
+                    fps[size > 0] = majority(np.concatenate(shingles), size[size > 0])
+                yield pa.record_batch([part.column("node"), pa.array(fps.view(np.int64))], names=["node", "fp"])
+
+    nodes = materialize(sets.mapInArrow(released(prints), "node binary, fp long"), "node-prints")
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = nodes.join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    ends = [heads.select(F.col("fp").alias(n), F.col("head").alias(h)) for n, h in (("a", "x"), ("b", "y"))]
+    near = links(heads).join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionByName(near)
+
+
+def keep_one_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of near copies: the one with the smallest id stays.
+
+    Near copies have a Jaccard similarity of ``share`` (a fraction) at least between their sets of shingles of ``width``
+    words, and so have those that are joined through others. Texts without words are copies of each other. All rows
+    without an id stay, as nothing tells them apart; of rows that repeat the id that stays, all stay.
+    """
+    alike, mark = resemblance.alike(docs, id_column, text_column, width, share)
+    sets = materialize(alike.where("shingles IS NOT NULL").dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    roots = resemblance.near_copies(sets, share, _candidates(sets))
+    rows = alike.select("doc_id", "mark", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = materialize(rows.select("doc_id", "mark", "root"), "rooted")
+    stays = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("stays")), "stays")
+    drop = rows.join(stays, "root").where("doc_id != stays").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    drop = materialize(drop, "similar")
+    return docs.join(drop, (docs[id_column] == drop["_id"]) & (mark == drop["_mark"]), "left_anti").select(*docs.columns)

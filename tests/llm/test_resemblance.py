@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from keyflow.llm import resemblance
+from keyflow.llm import resemblance, simhash
 from tests.llm.fixtures import documents, empty, rows
 
 
@@ -69,13 +69,13 @@ def test_pipeline_stage_on_the_table(spark, folder):
 
 def test_odd_texts(spark):
     docs = documents(spark, n=120)
-    assert {r.doc_id for r in resemblance.keep_one(docs).collect()} == kept({r[0]: r[1] for r in rows(n=120)})
+    assert {r.doc_id for r in simhash.keep_one_similar(docs).collect()} == kept({r[0]: r[1] for r in rows(n=120)})
 
 
 def test_null_ids_repeats_and_empty_tables(spark):
     given = [(3, "a b c d e"), (3, "a b c d e"), (None, "a B c  d e"), (None, "other words"), (9, None), (8, ""), (7, "a b c d e"), (7, "something else")]
     docs = spark.createDataFrame(given, "doc_id long, text string")
-    found = sorted((r.doc_id or 0, r.text or "") for r in resemblance.keep_one(docs).collect())
+    found = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one_similar(docs).collect())
     assert found == [(0, "a B c  d e"), (0, "other words"), (3, "a b c d e"), (3, "a b c d e"), (7, "something else"), (8, "")]
-    assert resemblance.keep_one(empty(spark)).columns == empty(spark).columns
-    assert resemblance.keep_one(empty(spark)).agg(F.count("*")).first()[0] == 0
+    assert simhash.keep_one_similar(empty(spark)).columns == empty(spark).columns
+    assert simhash.keep_one_similar(empty(spark)).agg(F.count("*")).first()[0] == 0
