@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyflow.llm import mixing, resemblance, tiling, token_files, toxicity
+from keyflow.llm import mixing, simhash, tiling, token_files, toxicity
 from keyflow.llm.common import materialize, shared_dir, table
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more) the one with the smallest id."""
-    return resemblance.keep_one(docs)
+    """Operator 8: of each group of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id."""
+    return simhash.keep_one_similar(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
