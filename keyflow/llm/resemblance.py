@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from keyflow.llm.common import materialize, partitions, released
+from keyflow.llm.common import materialize, partitions, released, released_group, released_groups
 from keyflow.llm.components import components
-from keyflow.llm.substrings import BUCKET_HASHES, CHUNK_BYTES, _bounds, _find_repeated, _pack
+from keyflow.llm.substrings import BUCKET_HASHES, _bounds, _find_repeated, _pack
 from keyflow.llm.words import scan, xxh64_spans
 
+#: Bytes of text in a chunk on average.
+CHUNK_BYTES = 4 << 20
 #: Bits of a sketch.
 SKETCH = 1024
 #: Members of a cell that one task joins at once.
@@ -284,8 +286,8 @@ def alike(docs: DataFrame, id_column: str, text_column: str, width: int, share:
     chunks = max(2 * least, size // CHUNK_BYTES)
     buckets = 1 << (max(least, size // 6 // BUCKET_HASHES, 2) - 1).bit_length()
     dealt = frame.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))
-    sent = dealt.groupBy("chunk").applyInArrow(_send(buckets, width), "bucket long, chunk long, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(_find_repeated(buckets), "chunk long, bucket long, bits binary")
+    sent = dealt.groupBy("chunk").applyInArrow(released_group(_send(buckets, width)), "bucket long, chunk long, hashes binary")
+    answers = sent.groupBy("bucket").applyInArrow(released_group(_find_repeated(buckets)), "chunk long, bucket long, bits binary")
     schema = spark.createDataFrame([], f"doc_id {dict(frame.dtypes)['doc_id']}, mark long, node binary, shingles binary").schema
     back = _may_have_copies(buckets, width, share, to_arrow_schema(schema))
-    return materialize(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(back, schema), "alike"), mark
+    return materialize(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(released_groups(back), schema), "alike"), mark

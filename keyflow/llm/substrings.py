@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from keyflow.llm.common import partitions
+from keyflow.llm.common import partitions, released_group, released_groups
 from keyflow.llm.words import Words, scan, xxh64_spans
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -189,10 +189,10 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
     chunks = max(2 * least, size // CHUNK_BYTES)
     buckets = 1 << (max(least, size // 6 // BUCKET_HASHES, 2) - 1).bit_length()
     dealt = frame.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))
-    sent = dealt.groupBy("chunk").applyInArrow(_hash_texts(buckets, width), "bucket long, chunk long, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(_find_repeated(buckets), "chunk long, bucket long, bits binary")
+    sent = dealt.groupBy("chunk").applyInArrow(released_group(_hash_texts(buckets, width)), "bucket long, chunk long, hashes binary")
+    answers = sent.groupBy("bucket").applyInArrow(released_group(_find_repeated(buckets)), "chunk long, bucket long, bits binary")
     kind = dict(frame.dtypes)["doc_id"]
     schema = spark.createDataFrame([], _SCHEMA.format(id=kind)).schema
     back = _remove(buckets, width, to_arrow_schema(schema))
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(back, schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(released_groups(back), schema)
 

@@ -143,35 +143,55 @@ def fit_chain(present: list[np.ndarray], labels: np.ndarray, categories: tuple[s
     return Chain(categories, models, limits)
 
 
+def _labels(labels: DataFrame, id_column: str, categories: tuple[str, ...], rows: int) -> DataFrame:
+    """One row for each labelled id, at most ``rows``: the smallest hashes of ids. Of labels that conflict the more frequent
+    one counts, 1 if they are as many."""
+    whole = labels.select(F.col(id_column).alias("doc_id"), *categories).dropna()
+    one = whole.groupBy("doc_id").agg(*(F.when(F.avg(c) >= 0.5, 1).otherwise(0).alias(c) for c in categories))
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", categories: tuple[str, ...] = CATEGORIES, rows: int = ROWS) -> Chain:
-    """Fit the chain on at most ``rows`` labelled rows. Rows whose id, text or a label is null, and labels of ids that
-    ``docs`` hasn't, aren't used; an id that repeats counts with each text. Without rows no text is flagged."""
-    whole = labels.select(F.col(id_column).alias("doc_id"), *categories).dropna().dropDuplicates(["doc_id"])
-    chosen = whole.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded sample
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("text is not null")
+    """Fit the chain on at most ``rows`` labelled texts. Rows whose id, text or a label is null, and labels of ids that
+    ``docs`` hasn't, aren't used; an id that repeats counts with each of its different texts, one that has conflicting
+    labels with the more frequent one. Without rows no text is flagged."""
     names = list(categories)
+    chosen = _labels(labels, id_column, categories, rows)
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("text is not null").withColumn("mark", F.xxhash64("text"))
+    # Of the labelled texts, however often they repeat, at most ``rows`` are sent on.
+    picked = texts.select("doc_id", "mark").join(F.broadcast(chosen), "doc_id").distinct().orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in ["doc_id", *names]), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", *names, "features"])
-
-    kinds = dict(whole.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ["doc_id", *names]) + ", features array<int>"
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", *names, "text")
-    got = sorted(joined.mapInArrow(released(run), schema).toArrow().to_pylist(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["features"]))
-    present = [np.array(r["features"], np.int32) for r in got]
-    return fit_chain(present, np.array([[int(r[c]) for c in names] for r in got]).reshape(len(got), len(names)), categories)
+            for some in slices(batch, "text"):
+                found = [text_features(t) for t in some.column("text").to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                features = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+                yield pa.record_batch([*(some.column(c) for c in ["doc_id", "mark", *names]), features], names=["doc_id", "mark", *names, "features"])
+
+    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, mark long, " + ", ".join(f"{c} int" for c in names) + ", features array<int>"
+    once = texts.join(F.broadcast(picked), ["doc_id", "mark"]).groupBy("doc_id", "mark", *names).agg(F.first("text").alias("text"))
+    got = once.mapInArrow(released(run), schema).toArrow().combine_chunks()
+    ids, marks = got.column("doc_id").to_pylist(), got.column("mark").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], marks[i]))
+    lists = got.column("features").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    present = [values[ends[i] : ends[i + 1]] for i in order]
+    table = np.array([got.column(c).to_pylist() for c in names], np.int64).reshape(len(names), len(ids)).T
+    return fit_chain(present, table[order], categories)
 
 
 class Scorer:
-    """Probabilities of texts: a memo has the picked features of words, so a text costs a look-up a distinct word."""
+    """Probabilities of texts: a memo has the picked features of words, so a text costs a look-up a distinct word, and a
+    model's weights are added up over the features that a text has."""
 
     def __init__(self, chain: Chain):
         self.chain, self.known = chain, {}
-        self.picked = np.unique(np.concatenate([m.features for m in chain.models]))
-        self.place = [np.searchsorted(self.picked, m.features) for m in chain.models]
-        self.number = {int(f): i for i, f in enumerate(self.picked)}
+        picked = np.unique(np.concatenate([m.features for m in chain.models]))
+        self.number = {int(f): i for i, f in enumerate(picked)}
+        self.weights = np.zeros((len(chain.models), len(picked)))
+        for row, m in zip(self.weights, chain.models, strict=True):
+            row[np.searchsorted(picked, m.features)] = m.weights
 
     def of(self, word: str) -> tuple[int, ...]:
         found = tuple(self.number[f] for f in word_features(word) if f in self.number)
@@ -181,18 +201,22 @@ class Scorer:
         return found
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        on = np.zeros((len(texts), len(self.picked)), np.float32)
-        for i, text in enumerate(texts):
+        flat, size = [], []
+        for text in texts:
+            on: set[int] = set()
             for w in set(_WORD.findall(text.lower())) if text else ():
-                for j in self.known[w] if w in self.known else self.of(w):
-                    on[i, j] = 1
+                found = self.known.get(w)
+                on.update(self.of(w) if found is None else found)
+            flat.extend(sorted(on))
+            size.append(len(on))
+        at, row = np.array(flat, np.int64), np.repeat(np.arange(len(texts)), size)
         earlier = np.zeros((len(texts), 0))
         out = []
-        for m, place in zip(self.chain.models, self.place, strict=True):
-            p = _chance(on[:, place] @ m.weights + earlier @ m.earlier + m.intercept)
+        for m, weights in zip(self.chain.models, self.weights, strict=True):
+            p = _chance(np.bincount(row, weights[at], minlength=len(texts)) + earlier @ m.earlier + m.intercept)
             out.append(p)
             earlier = np.hstack([earlier, _logit(p)[:, None]])
-        return np.stack(out, axis=1)
+        return np.stack(out, axis=1) if texts else np.zeros((0, len(self.chain.models)))
 
 
 def score(docs: DataFrame, chain: Chain, id_column: str = "doc_id", text_column: str = "text", category: str = "toxic") -> DataFrame:

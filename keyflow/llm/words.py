@@ -75,9 +75,9 @@ def scan(texts: pa.Array, *, lower: bool = False, squeeze: bool = False) -> Word
         data = _LOWER[data]
     if squeeze:
         keep = inside | before
-        place = np.cumsum(keep)
+        place = np.cumsum(keep, dtype=np.int32 if n < 1 << 31 else np.int64)
         data = np.where(inside, data, np.uint8(0x20))[keep]
-        start, end = place[start] - 1, place[end - 1]
+        start, end = place[start].astype(np.int64) - 1, place[end - 1].astype(np.int64)
     buf = np.zeros(len(data) + 8, np.uint8)
     buf[: len(data)] = data
     return Words(buf, start, end, first)

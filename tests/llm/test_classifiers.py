@@ -54,3 +54,24 @@ def test_toxicity_bears_any_row(spark):
     assert toxicity.score(empty(spark), chain).count() == 0
     none = toxicity.train(empty(spark), labels)
     assert toxicity.keep_clean(docs, none).count() == docs.count()
+
+
+def test_labels_that_conflict_or_repeat(spark, monkeypatch):
+    """The more frequent label counts, whatever the order of rows; an id with many texts sends a bounded number of them."""
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(90)]
+    labels += [(5, 1, 1), (6, 1, 0), (6, 1, 0), (9, 1, 0)]  # a tie counts as 1, the second is outvoted, the third a tie
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r.toxic for r in toxicity._labels(frame.repartition(3), "doc_id", toxicity.CATEGORIES, 1000).collect()}
+    assert found == {i: int(i % 3 == 0 and i != 6 or i == 5) for i in range(90)}
+    docs = [(i, f"word{i % 7} " * 9 + ("foul" if i % 3 == 0 else "fair")) for i in range(90)] + [(7, f"text {j} fair") for j in range(3000)] + [(8, "same fair")] * 500
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    fit = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda present, table, categories: seen.append(len(present)) or fit(present, table, categories))
+    chains = [toxicity.train(docs.repartition(n), frame.repartition(n), rows=200) for n in (2, 7)]
+    assert seen == [200, 200]
+    for a, b in zip(chains[0].models, chains[1].models, strict=True):
+        assert (a.features == b.features).all() and (a.weights == b.weights).all()
+    few = toxicity.train(docs.where("length(text) > 20"), frame)
+    flagged = {r.doc_id for r in toxicity.score(docs.where("length(text) > 20"), few).collect() if r.flagged}
+    assert flagged >= {i for i in range(0, 90, 3) if i != 6}
