@@ -82,17 +82,17 @@ def oracle_sql() -> dict[str, str]:
     return {"op5_top_k": OP5_SQL, "op6_substrings": OP6_SQL}
 
 
-#: Brute force over all pairs of a query and a row.
+#: Brute force over all pairs of a query and a row; rows that repeat an id are rows like any others.
 OP5_SQL = """
 WITH ready AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, row_number() OVER () AS row_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM ready q JOIN ready c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.row_id, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM ready q JOIN ready c ON q.row_id <> c.row_id WHERE q.vec_id % 20 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
