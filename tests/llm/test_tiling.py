@@ -1,4 +1,5 @@
 import random
+import time
 
 from keyflow.llm import tiling
 from tests.llm.fixtures import documents, empty
@@ -60,10 +61,11 @@ def test_leaks_are_found_in_any_order_and_clean_texts_left(spark):
     assert sorted(r.doc_id for r in clean.collect()) == [4, 5, 6, 7, 8]
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_a_large_benchmark_gives_the_same(spark, monkeypatch):
+    """Joined by shuffle, not broadcast, and without a chain of workers."""
     docs = documents(spark)
     texts = [r.text for r in docs.where("length(text) > 100").collect()]
-    bench = spark.createDataFrame([(i, t[:300], "x") for i, t in enumerate(texts)], BENCH)
+    bench = spark.createDataFrame([(i, t[:300], "x") for i, t in enumerate(texts)] + [(900, texts[0][:300], "x"), (901, "one two three", "x")], BENCH)
     whole = sorted(map(tuple, tiling.leaks(docs, bench).collect()))
     kept = sorted(r.doc_id for r in tiling.decontaminate(docs, bench).collect())
     monkeypatch.setattr(tiling, "BLOCK_BYTES", 2000)
@@ -72,6 +74,31 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert len(kept) < docs.count()
 
 
+def test_a_common_opening_and_repeats_cost_little():
+    """2,000 items with a common opening; a text that repeats it, one of a million words, and constant runs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    opening = [word() for _ in range(30)]
+    items = [(i, " ".join(opening + [word() for _ in range(40)])) for i in range(2000)]
+    b = tiling.block(items)
+    began = time.time()
+    assert not list(tiling.covers(b, tiling._numbers(b, " ".join(opening * 200))))
+    long = [word() for _ in range(1_000_000)]
+    long[500_000:500_000] = items[7][1].split()
+    assert list(tiling.covers(b, tiling._numbers(b, " ".join(long)))) == [(7, 1, 70)]
+    runs = tiling.block([(0, "a " * 100), (1, "b c " * 60)])
+    assert list(tiling.covers(runs, tiling._numbers(runs, "a " * 300_000 + "b c " * 50_000))) == [(0, 1, 100), (1, 1, 120)]
+    assert time.time() - began < 60
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    given = [(1, "one two three four"), (2, "two words"), (3, "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec"), (4, "\u0e01\u0e02\u0e04\u0e07\u0e08\u0e09\u0e0a abc")]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in given], BENCH)
+    texts = {1: "x One, two; three four y", 2: "one two x three four two words", 3: "x \u597d\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u3002 y", 4: "\u5929\u4eca\u6c14\u5929\u5f88", 5: "\u0e01\u0e02\u0e04\u0e07\u0e08\u0e09\u0e0aabc"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in tiling.leaks(docs, bench).collect()) == [(1, 1), (3, 3), (5, 4)]
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([], BENCH)
     assert tiling.leaks(documents(spark), bench).count() == 0
