@@ -26,8 +26,9 @@ def op2_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanner = secrets.train(secrets.sample_findings(spark))
-    return secrets.scan(table(spark, sf_dir, "documents"), scanner, path_column="source")
+    docs = table(spark, sf_dir, "documents")
+    language = secrets.learn_language(docs)
+    return secrets.scan(docs, secrets.train(secrets.sample_findings(spark, language), language))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
