@@ -75,10 +75,14 @@ def hash_of_long(value: Column) -> Column:
 
 
 def hash_of_string(value: Column) -> Column:
-    """Java's hash code of a string of characters in the basic plane (its polynomial in 31)."""
-    codes = F.filter(F.split(value, ""), lambda c: c != "")
-    step = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)).bitwiseAND(F.lit(_MASK)))
-    return _signed(step)
+    """Java's hash code of a string: the polynomial in 31 of its UTF-16 units; a character beyond the basic plane is two."""
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+
+    def step(h: Column, c: Column) -> Column:
+        pair = (h * 31 + (F.shiftright(c - 0x10000, 10) + 0xD800)).bitwiseAND(F.lit(_MASK)) * 31 + ((c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+        return F.when(c < 0x10000, h * 31 + c).otherwise(pair).bitwiseAND(F.lit(_MASK))
+
+    return _signed(F.aggregate(codes, F.lit(0).cast("long"), step))
 
 
 def key_group(hash_code: Column, groups: int) -> Column:

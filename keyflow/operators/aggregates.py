@@ -63,19 +63,24 @@ def word_count(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.sum("one").cast("long").alias("count"))
 
 
-def running_count(rows: DataFrame, key: str, seq: str, stride: int = 4096) -> DataFrame:
-    """(seq, key, count): for every record how many of its key have come so far.
+def numbered(rows: DataFrame, key: str, seq: str, name: str, stride: int = 4096) -> DataFrame:
+    """``rows`` with the place of each among those of its key by ``seq``, from 1; a null key is a key.
 
-    Records are counted within strides of ``seq`` first; a key's strides, far fewer than its records, give the offsets, so
+    Records are numbered within strides of ``seq`` first; a key's strides, far fewer than its records, give the offsets, so
     a frequent key is spread over as many tasks as it has strides.
     """
-    cut = rows.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.floor(F.col(seq) / stride).alias("stride"))
-    strides = cut.groupBy("key", "stride").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("key").orderBy("stride").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = strides.select(F.col("key").alias("k"), F.col("stride").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("key", "stride").orderBy("seq"))
-    joined = cut.withColumn("within", within).join(offsets, F.col("key").eqNullSafe(F.col("k")) & (F.col("stride") == F.col("s")))
-    return joined.select("seq", "key", (F.col("offset") + F.col("within")).cast("long").alias("count"))
+    cut = rows.withColumn("__stride", F.floor(F.col(seq) / stride))
+    strides = cut.groupBy(F.col(key).alias("__k"), F.col("__stride").alias("__s")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__k").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = strides.select("__k", "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    within = F.row_number().over(Window.partitionBy(key, "__stride").orderBy(seq))
+    joined = cut.withColumn("__within", within).join(offsets, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__stride") == F.col("__s")))
+    return joined.select(*rows.columns, (F.col("__offset") + F.col("__within")).cast("long").alias(name))
+
+
+def running_count(rows: DataFrame, key: str, seq: str, stride: int = 4096) -> DataFrame:
+    """(seq, key, count): for every record how many of its key have come so far, in strides of ``seq``."""
+    return numbered(rows.select(F.col(seq).alias("seq"), F.col(key).alias("key")), "key", "seq", "count", stride)
 
 
 def state_estimate(rows: DataFrame, key: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyflow.operators.aggregates import numbered
+
 
 def arrivals(barriers: DataFrame) -> DataFrame:
     """The first barrier of each channel of a migration: (migration_id, channel, arrival); repeats don't count."""
@@ -53,6 +55,13 @@ def standalone(migrations: DataFrame) -> DataFrame:
     return migrations.select("migration_id", (-F.col("migration_id") - 1).alias("checkpoint_id"), "plans")
 
 
+def final(migrations: DataFrame, checkpoint_id: int) -> DataFrame:
+    """Barriers that close migrations with a checkpoint: they carry its id and leave no plan open."""
+    if checkpoint_id < 0:
+        raise ValueError("the id of a checkpoint isn't below 0")
+    return migrations.select("migration_id", F.lit(checkpoint_id).cast("long").alias("checkpoint_id"), F.array().cast(_PLANS).alias("plans"))
+
+
 def encode(barriers: DataFrame) -> DataFrame:
     """Each barrier as one JSON text, without loss."""
     return barriers.select(F.to_json(F.struct("migration_id", "checkpoint_id", "plans")).alias("message"))
@@ -69,13 +78,20 @@ def waiting(records: DataFrame, partitions: list[int], barrier_seq: float) -> Da
 
 def bounded(records: DataFrame, capacity: int) -> DataFrame:
     """Records with their place in the buffer of their partition, and whether it still had room for them."""
-    rank = F.row_number().over(Window.partitionBy("key_group").orderBy("seq"))
-    return records.withColumn("place", rank).withColumn("accepted", F.col("place") <= capacity)
+    return numbered(records, "key_group", "seq", "place").withColumn("accepted", F.col("place") <= capacity)
 
 
 def flush(records: DataFrame) -> DataFrame:
     """Records with their place in the order in which the buffers of their partitions are replayed."""
-    return records.withColumn("place", F.row_number().over(Window.partitionBy("key_group").orderBy("seq")))
+    return numbered(records, "key_group", "seq", "place").withColumn("place", F.col("place").cast("int"))
+
+
+def replay(counts: DataFrame, records: DataFrame) -> DataFrame:
+    """Buffered records replayed in order at their target: each goes on from the count (key_group, count) that the state of
+    its partition had at the barrier."""
+    at = counts.select("key_group", F.col("count").alias("__before"))
+    placed = numbered(records, "key_group", "seq", "place").join(F.broadcast(at), "key_group", "left")  # a row for each key group
+    return placed.select("seq", "key_group", (F.col("place") + F.coalesce("__before", F.lit(0))).cast("long").alias("count"))
 
 
 def buffer_stats(records: DataFrame, bytes_each: int = 100) -> DataFrame:

@@ -51,6 +51,11 @@ def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     return latest.select("c.seq", "key", "c.op", "c.value")
 
 
+def cleared(log: DataFrame, upto: int) -> DataFrame:
+    """A log after it was cleared: the changes that came later."""
+    return log.where(F.col("seq") > upto)
+
+
 def snapshot(log: DataFrame) -> DataFrame:
     """The state that a log leaves: the keys whose latest change put a value."""
     return compact(log).where(F.col("op") == PUT).select("key", "value")

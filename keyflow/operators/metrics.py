@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _EXACT = "decimal(18,2)"
@@ -57,15 +57,53 @@ def scale_in_target(operators: DataFrame) -> DataFrame:
     return loads.agg(F.min_by(F.struct("operator_id", "load"), F.struct("load", "operator_id")).alias("b")).where("b is not null").select("b.operator_id", "b.load")
 
 
+def _percentile(events: DataFrame, share: float) -> DataFrame:
+    """(hour, p): the interpolated percentile of the values of each hour, from counts of its different values in order, so
+    no task holds an hour's values."""
+    counts = events.where("value is not null").groupBy(F.date_trunc("hour", "ts").alias("hour"), "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("hour").orderBy("value"))
+    total = counts.groupBy("hour").agg(F.sum("n").alias("total"))
+    placed = counts.withColumn("upto", upto).join(total, "hour").withColumn("at", (F.col("total") - 1) * F.lit(share))
+    ends = placed.groupBy("hour").agg(
+        F.min(F.when(F.col("upto") > F.floor("at"), F.col("value"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("value"))).alias("high"), F.first("at").alias("at")
+    )
+    near = (F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high")
+    return ends.select("hour", F.when(F.floor("at") == F.ceil("at"), F.col("low")).otherwise(near).alias("p"))
+
+
 def job_metrics(events: DataFrame) -> DataFrame:
     """Hourly job metrics: processor and memory use against the table's means, latency, backpressure, throughput."""
     hours = events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
         F.count("*").alias("n"),
         F.sum(F.col("value").cast(_EXACT)).alias("total"),
-        F.round(F.percentile("value", 0.99) * 4, 2).alias("p99"),
         F.round(F.count(F.when(F.col("key") == "error", 1)) / F.count("*"), 4).alias("bp"),
     )
+    hours = hours.join(_percentile(events, 0.99), "hour", "left").withColumn("p99", F.round(F.col("p") * 4, 2))
     mean = hours.agg(F.sum("n") / F.count("*"), F.sum("total").cast("double") / F.count("*")).first()  # two numbers
     n, total = (float(x or 1.0) for x in mean)
     cpu, mem = F.round(F.col("n") / F.lit(1.8 * n), 4), F.round(F.col("total").cast("double") / F.lit(2.5 * total), 4)
     return hours.select("hour", cpu.alias("cpu"), mem.alias("mem"), "p99", "bp", (F.col("bp") > 0.25).alias("backpressured"), F.round(F.col("n") / 3600.0, 9).alias("throughput"))
+
+
+def hourly_bottleneck(events: DataFrame) -> DataFrame:
+    """(hour, bottleneck_bp): the backpressure of the operator that has the most in each hour; 0 if none has any."""
+    share = F.round(F.count(F.when(F.col("key") == "error", 1)) / F.count("*"), 6)
+    operators = events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "operator_id").agg(share.alias("backpressure"))
+    return operators.groupBy("hour").agg(F.max("backpressure").alias("bottleneck_bp"))
+
+
+def hourly_imbalance(events: DataFrame, limit: float) -> DataFrame:
+    """(hour, imbalance): the imbalance of the first operator by id that exceeds ``limit`` in each hour; 0 if none does."""
+    parts = events.withColumn("hour", F.date_trunc("hour", "ts")).groupBy("hour", "operator_id", "subtask", "key_group")
+    cost = (F.round(F.count("*") / 3600.0, 9).cast("decimal(20,9)") * F.round(_mean(), 6).cast("decimal(18,6)")).alias("cost")
+    loads = parts.agg(cost).groupBy("hour", "operator_id", "subtask").agg(F.sum("cost").cast("double").alias("load"))
+    stats = loads.groupBy("hour", "operator_id").agg(F.count("*").alias("subtasks"), F.min("load").alias("low"), F.max("load").alias("high"), F.avg("load").alias("mean"))
+    ratio = F.round(F.when((F.col("subtasks") <= 1) | (F.col("mean") <= 0), 0.0).otherwise((F.col("high") - F.col("low")) / F.col("mean")), 6)
+    uneven = stats.withColumn("imbalance", ratio).groupBy("hour").agg(F.min_by("imbalance", F.when(F.col("imbalance") > limit, F.col("operator_id"))).alias("imbalance"))
+    return uneven.select("hour", F.coalesce("imbalance", F.lit(0.0)).alias("imbalance"))
+
+
+def memory_ratio(partitions: DataFrame) -> DataFrame:
+    """State of each subtask (subtask, state_size, memory_capacity) as a share of its capacity; null without a capacity."""
+    used = partitions.groupBy("subtask").agg(F.sum("state_size").alias("used"), F.max("memory_capacity").alias("capacity"))
+    return used.select("subtask", "used", "capacity", F.round(F.col("used") / F.when(F.col("capacity") > 0, F.col("capacity")), 9).alias("ratio"))

@@ -6,10 +6,12 @@ partitions. All comparisons with thresholds are strict.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, fields, replace
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,12 +43,28 @@ class PolicyConfig:
     def with_options(self, **options) -> PolicyConfig:
         return replace(self, **options)
 
+    @classmethod
+    def from_options(cls, spark: SparkSession, prefix: str = "spark.keyflow.") -> PolicyConfig:
+        """What a job's settings say: ``prefix`` and a field's name, such as spark.keyflow.cpu_out; the rest by default."""
+        found = {}
+        for f in fields(cls):
+            value = spark.conf.get(prefix + f.name, None)
+            if value is not None:
+                found[f.name] = type(f.default)(float(value)) if isinstance(f.default, int) else float(value)
+        return cls(**found)
+
 
 class Policy(Protocol):
-    """What the planner asks of a policy."""
+    """What the planner asks of a policy. ``evaluate`` gives a decision for each sample, none while it keeps still."""
+
+    config: PolicyConfig
 
     def evaluate(self, metrics: DataFrame) -> DataFrame: ...
 
+    def acted(self) -> None: ...
+
+    def update(self, config: PolicyConfig) -> None: ...
+
     def reset(self) -> None: ...
 
 
@@ -70,20 +88,16 @@ def decide(metrics: DataFrame, config: PolicyConfig = PolicyConfig()) -> DataFra
     """
     c = F.col
     p = c("parallelism")
+    over = lambda what, value, limit, unit: F.concat(F.lit(f"{what} at "), value, F.lit(f"{unit}, limit "), limit, F.lit(unit))
+    plain = lambda x: F.format_string("%.2f", F.round(x, 2))
     cause = (
-        F.when(c("cpu") > config.cpu_out, F.concat(F.lit("CPU utilization "), _percent(c("cpu")), F.lit("% exceeds threshold "), _percent(F.lit(config.cpu_out)), F.lit("%")))
-        .when(c("mem") > config.memory_out, F.concat(F.lit("Memory usage "), _percent(c("mem")), F.lit("% exceeds threshold "), _percent(F.lit(config.memory_out)), F.lit("%")))
-        .when(c("p99") > config.latency_ms, F.concat(F.lit("P99 latency "), F.format_string("%.2f", F.round("p99", 2)), F.lit("ms exceeds threshold "), F.format_string("%.2f", F.lit(config.latency_ms)), F.lit("ms")))
-        .when(
-            c("backpressured") & (c("bottleneck_bp") > config.backpressure),
-            F.concat(F.lit("Operator backpressure "), _percent(c("bottleneck_bp")), F.lit("% exceeds threshold "), _percent(F.lit(config.backpressure)), F.lit("%")),
-        )
+        F.when(c("cpu") > config.cpu_out, over("cpu", _percent(c("cpu")), _percent(F.lit(config.cpu_out)), "%"))
+        .when(c("mem") > config.memory_out, over("memory", _percent(c("mem")), _percent(F.lit(config.memory_out)), "%"))
+        .when(c("p99") > config.latency_ms, over("p99", plain(c("p99")), plain(F.lit(config.latency_ms)), " ms"))
+        .when(c("backpressured") & (c("bottleneck_bp") > config.backpressure), over("backpressure", _percent(c("bottleneck_bp")), _percent(F.lit(config.backpressure)), "%"))
     )
-    idle = F.when(
-        (c("cpu") < config.cpu_in) & (c("mem") < config.memory_in),
-        F.concat(F.lit("Resources underutilized: CPU "), _percent(c("cpu")), F.lit("%, Memory "), _percent(c("mem")), F.lit("%")),
-    )
-    uneven = F.when(c("imbalance") > config.imbalance, F.concat(F.lit("Load imbalance "), _percent(c("imbalance")), F.lit("% detected")))
+    idle = F.when((c("cpu") < config.cpu_in) & (c("mem") < config.memory_in), F.concat(F.lit("idle: cpu "), _percent(c("cpu")), F.lit("%, memory "), _percent(c("mem")), F.lit("%")))
+    uneven = F.when(c("imbalance") > config.imbalance, F.concat(F.lit("uneven by "), _percent(c("imbalance")), F.lit("%")))
     out = F.least(F.ceil(p * config.out_factor), F.lit(config.max_parallelism)).cast("int")
     inward = F.greatest(F.floor(p * config.in_factor), F.lit(config.min_parallelism)).cast("int")
     named = metrics.withColumns({"__out": F.when(out != p, cause), "__in": F.when(inward != p, idle), "__even": uneven})
@@ -98,18 +112,31 @@ def decide(metrics: DataFrame, config: PolicyConfig = PolicyConfig()) -> DataFra
 def cooled(decisions: DataFrame, period_ms: int, *by: str) -> DataFrame:
     """The actions that a cooldown lets through: each one at least the period after the last that went through.
 
-    The last action decides on the next, so the decisions of a job are folded in order of time.
+    The last action decides on the next, so the actions of a job (a row for each evaluation that led to one) are gone
+    through in order of time, in one task a job, in batches and with one number kept.
     """
     acts = decisions.where(F.col("decision") != "NONE").withColumn("__t", F.unix_millis(F.col("hour").cast("timestamp")))
-    times = acts.groupBy(*by).agg(F.sort_array(F.collect_set("__t")).alias("times"))
-    start = F.array().cast("array<bigint>")
-
-    def step(kept: Column, t: Column) -> Column:
-        free = (F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) >= period_ms)
-        return F.when(free, F.concat(kept, F.array(t))).otherwise(kept)
-
-    kept = times.select(*by, F.explode(F.aggregate("times", start, step)).alias("__t"))
-    return acts.join(kept, [*by, "__t"], "left_semi").drop("__t")
+    job = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    times = acts.select(*by, job.alias("__job"), "__t").where("__t is not null").distinct()
+    dealt = times.repartition("__job").sortWithinPartitions("__job", *by, "__t")
+    names = [*by, "__t"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, last = None, None
+        for batch in batches:
+            keep = []
+            for i, row in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+                if row[:-1] != job or last is None or row[-1] - last >= period_ms:
+                    job, last = row[:-1], row[-1]
+                    keep.append(i)
+            yield batch.select(names).take(pa.array(keep, pa.int64()))
+
+    kept = dealt.mapInArrow(walk, dealt.select(*names).schema)
+    same = [acts[n].eqNullSafe(kept[n]) for n in names]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    return acts.join(kept, condition, "left_semi").drop("__t")
 
 
 def retry_delays(attempts: DataFrame, base_ms: int = 1000) -> DataFrame:

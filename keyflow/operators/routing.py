@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyflow.operators.aggregates import numbered
+
 
 def default_routes(spark: SparkSession, operators: list[str], partitions: int, parallelism: int) -> DataFrame:
     """Partition p of each operator at subtask p modulo the parallelism, version 0."""
@@ -36,9 +38,10 @@ def distribution_stats(routes: DataFrame, parallelism: int) -> DataFrame:
 
 
 def updates(barriers: DataFrame) -> DataFrame:
-    """Route changes of barriers, one version for each barrier in their order: (partition_id, target, version)."""
-    order = Window.partitionBy(F.lit(0)).orderBy("migration_id")
-    heads = barriers.select("migration_id").distinct().withColumn("version", F.row_number().over(order).cast("long"))
+    """Route changes of barriers, one version for each barrier in their order: (partition_id, target, version). Versions
+    are numbered in strides of the migration's id, as there is a barrier for every few records."""
+    heads = barriers.select("migration_id").distinct().withColumn("__one", F.lit(1))
+    heads = numbered(heads, "__one", "migration_id", "version").drop("__one")
     plans = barriers.select("migration_id", F.posexplode("plans").alias("pos", "plan"))
     return plans.join(heads, "migration_id").select(F.col("plan.partition_id").alias("partition_id"), F.col("plan.target").alias("subtask"), "version", "pos")
 
@@ -50,11 +53,21 @@ def apply_barriers(routes: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select("operator_id", "partition_id", F.coalesce("c.subtask", "subtask").cast("int").alias("subtask"), F.coalesce("c.version", "version").alias("version"))
 
 
-def history(routes: DataFrame, changes: DataFrame) -> DataFrame:
-    """All routes that partitions have had: (partition_id, version, subtask, previous); a change back is a change."""
+def history(routes: DataFrame, changes: DataFrame, stride: int = 4096) -> DataFrame:
+    """All routes that partitions have had: (partition_id, version, subtask, previous); a change back is a change.
+
+    The route before a change is looked for in its stride of versions, and for the first of a stride it is the last of the
+    strides before, so a partition with many changes is many tasks.
+    """
     every = routes.select("partition_id", "subtask", "version", F.lit(-1).alias("pos")).unionByName(changes.select("partition_id", "subtask", "version", "pos"))
-    order = Window.partitionBy("partition_id").orderBy("version", "pos")
-    return every.select("partition_id", "version", "pos", "subtask", F.lag("subtask").over(order).alias("previous"))
+    cut = every.withColumn("stride", F.floor(F.col("version") / stride))
+    lasts = cut.groupBy("partition_id", "stride").agg(F.max_by("subtask", F.struct("version", "pos")).alias("last"))
+    earlier = F.lag("last").over(Window.partitionBy("partition_id").orderBy("stride"))
+    lasts = lasts.select("partition_id", "stride", earlier.alias("earlier"))
+    before = F.lag("subtask").over(Window.partitionBy("partition_id", "stride").orderBy("version", "pos"))
+    here = F.row_number().over(Window.partitionBy("partition_id", "stride").orderBy("version", "pos"))
+    placed = cut.withColumn("before", before).withColumn("first", here == 1).join(lasts, ["partition_id", "stride"])
+    return placed.select("partition_id", "version", "pos", "subtask", F.when(F.col("first"), F.col("earlier")).otherwise(F.col("before")).alias("previous"))
 
 
 def as_of(routes: DataFrame, changes: DataFrame, version: int) -> DataFrame:

@@ -67,10 +67,19 @@ def _murmur(table: str, column: str, keep: str) -> str:
 _JOBS = f"""{_EV}, hours AS (
   SELECT date_trunc('hour', ts) AS hour, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total,
          round(quantile_cont(value, 0.99) * 4, 2) AS p99, round(CAST(count(*) FILTER (WHERE key = 'error') AS DOUBLE) / count(*), 4) AS bp FROM ev GROUP BY ALL
+), pressed AS (
+  SELECT date_trunc('hour', ts) AS hour, operator_id, round(CAST(count(*) FILTER (WHERE key = 'error') AS DOUBLE) / count(*), 6) AS share FROM ev GROUP BY ALL
+), most AS (SELECT hour, max(share) AS bottleneck_bp FROM pressed GROUP BY hour
+), costs AS (
+  SELECT date_trunc('hour', ts) AS hour, operator_id, subtask, CAST(round(count(*) / 3600.0e0, 9) AS DECIMAL(18,9)) * CAST({_AVG} AS DECIMAL(18,6)) AS cost FROM ev GROUP BY 1, 2, 3, key_group
+), loads AS (SELECT hour, operator_id, subtask, CAST(sum(cost) AS DOUBLE) AS load FROM costs GROUP BY ALL
+), ratios AS (
+  SELECT hour, operator_id, round(CASE WHEN count(*) <= 1 OR avg(load) <= 0 THEN 0 ELSE (max(load) - min(load)) / avg(load) END, 6) AS ratio FROM loads GROUP BY ALL
+), worst AS (SELECT hour, coalesce(arg_min(ratio, operator_id) FILTER (WHERE ratio > 0.3e0), 0) AS imbalance FROM ratios GROUP BY hour
 ), jobs AS (
   SELECT 'hour' AS scenario, CAST(hour AS TIMESTAMP) AS hour, round(n / (1.8e0 * (SELECT CAST(sum(n) AS DOUBLE) / count(*) FROM hours)), 4) AS cpu,
-         round(total / (2.5e0 * (SELECT sum(total) / count(*) FROM hours)), 4) AS mem, p99, bp > 0.25 AS backpressured, bp AS bottleneck_bp,
-         0.0e0 AS imbalance, 4 AS parallelism, round(n / 3600.0e0, 9) AS throughput FROM hours
+         round(total / (2.5e0 * (SELECT sum(total) / count(*) FROM hours)), 4) AS mem, p99, bp > 0.25 AS backpressured, bottleneck_bp,
+         imbalance, 4 AS parallelism, round(n / 3600.0e0, 9) AS throughput FROM hours JOIN most USING (hour) JOIN worst USING (hour)
 ), samples AS (
   SELECT * FROM jobs UNION ALL
   SELECT s, NULL, c, m, l, b, x, i, p, 0.0e0 FROM (VALUES
@@ -84,12 +93,12 @@ _JOBS = f"""{_EV}, hours AS (
     ('at least', 0.1e0, 0.1e0, 10.0e0, false, 0.0e0, 0.5e0, 1), ('one up', 0.9e0, 0.1e0, 10.0e0, false, 0.0e0, 0.0e0, 1)) v(s, c, m, l, b, x, i, p)
 ), steps AS (
   SELECT *, CAST(least(ceil(parallelism * 1.5), 128) AS INTEGER) AS up, CAST(greatest(floor(parallelism * 0.75), 1) AS INTEGER) AS down,
-    CASE WHEN cpu > 0.8e0 THEN 'CPU utilization ' || printf('%.2f', round(cpu * 100, 2)) || '% exceeds threshold 80.00%'
-         WHEN mem > 0.85e0 THEN 'Memory usage ' || printf('%.2f', round(mem * 100, 2)) || '% exceeds threshold 85.00%'
-         WHEN p99 > 1000 THEN 'P99 latency ' || printf('%.2f', round(p99, 2)) || 'ms exceeds threshold 1000.00ms'
-         WHEN backpressured AND bottleneck_bp > 0.5e0 THEN 'Operator backpressure ' || printf('%.2f', round(bottleneck_bp * 100, 2)) || '% exceeds threshold 50.00%' END AS cause,
-    CASE WHEN cpu < 0.3e0 AND mem < 0.4e0 THEN 'Resources underutilized: CPU ' || printf('%.2f', round(cpu * 100, 2)) || '%, Memory ' || printf('%.2f', round(mem * 100, 2)) || '%' END AS idle,
-    CASE WHEN imbalance > 0.3e0 THEN 'Load imbalance ' || printf('%.2f', round(imbalance * 100, 2)) || '% detected' END AS uneven FROM samples
+    CASE WHEN cpu > 0.8e0 THEN 'cpu at ' || printf('%.2f', round(cpu * 100, 2)) || '%, limit 80.00%'
+         WHEN mem > 0.85e0 THEN 'memory at ' || printf('%.2f', round(mem * 100, 2)) || '%, limit 85.00%'
+         WHEN p99 > 1000 THEN 'p99 at ' || printf('%.2f', round(p99, 2)) || ' ms, limit 1000.00 ms'
+         WHEN backpressured AND bottleneck_bp > 0.5e0 THEN 'backpressure at ' || printf('%.2f', round(bottleneck_bp * 100, 2)) || '%, limit 50.00%' END AS cause,
+    CASE WHEN cpu < 0.3e0 AND mem < 0.4e0 THEN 'idle: cpu ' || printf('%.2f', round(cpu * 100, 2)) || '%, memory ' || printf('%.2f', round(mem * 100, 2)) || '%' END AS idle,
+    CASE WHEN imbalance > 0.3e0 THEN 'uneven by ' || printf('%.2f', round(imbalance * 100, 2)) || '%' END AS uneven FROM samples
 ), decided AS (
   SELECT *, CASE WHEN cause IS NOT NULL AND up <> parallelism THEN 'SCALE_OUT' WHEN idle IS NOT NULL AND down <> parallelism THEN 'SCALE_IN'
                  WHEN uneven IS NOT NULL THEN 'REBALANCE' ELSE 'NONE' END AS decision FROM steps
@@ -134,6 +143,10 @@ _PROGRESS = f"""{_EV}, progress AS (
 _OPERATORS = f"""{_EV}, operators AS (
   SELECT operator_id, round(count(*) / 2592000.0e0, 9) AS input_rate, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 100.0e0, 6) AS cpu,
          round(CAST(count(*) FILTER (WHERE key = 'error') AS DOUBLE) / count(*), 6) AS backpressure FROM ev GROUP BY operator_id)"""
+_KINDS = "(VALUES (0, 'ABORT', 'ABORTED'), (1, 'COMMIT', 'COMMITTED'), (2, 'COPY_ROUND', 'PRE_COPY'), (3, 'COPY_START', 'PRE_COPY'), (4, 'DELTA_DONE', 'FINALIZING'), (5, 'DELTA_SEND', 'FINALIZING'), (6, 'REPLY', NULL), (7, 'ROUTES', NULL), (8, 'SOURCE_READY', 'INIT'), (9, 'STATE', NULL), (10, 'STATS', NULL), (11, 'TARGET_READY', 'INIT'))"
+_MESSAGES = f"""{_EV}, messages AS (
+  SELECT migration_id, event_id AS seq, kind, CASE WHEN kind = 'STATE' THEN s ELSE implied END AS state
+  FROM ev JOIN {_KINDS} k(i, kind, implied) ON i = (event_id * 7 + migration_id) % 12 JOIN {_NAMES} n(j, s) ON j = event_id % 7)"""
 _FINAL = "SELECT key, value FROM " + _snapshot("log")
 
 SQL = {
@@ -142,8 +155,8 @@ SQL = {
     "tumbling_stats": _STATS,
     "merge_partials": _STATS,
     "last_n_values": """SELECT window_start, key, CAST(pos AS INTEGER) AS pos, value FROM (
-  SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type AS key, value,
-         row_number() OVER (PARTITION BY time_bucket(INTERVAL '1 day', ts), event_type ORDER BY event_id DESC) AS pos FROM events) WHERE pos <= 5""",
+  SELECT time_bucket(INTERVAL '1 minute', ts) AS window_start, event_type AS key, value,
+         row_number() OVER (PARTITION BY time_bucket(INTERVAL '1 minute', ts), event_type ORDER BY event_id DESC) AS pos FROM events) WHERE pos <= 1000""",
     "scan_events": "SELECT event_id, event_type AS key, value, epoch_us(ts) // 1000 AS ts_ms FROM events",
     "tokenize": f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, word, 1 AS one FROM ({_WORDS})",
     "word_count": f"SELECT word, count(*) AS count FROM ({_WORDS}) GROUP BY word",
@@ -244,8 +257,24 @@ FROM ev JOIN started ON started.partition_id = ev.key_group""",
     "migration_equivalence": f"""WITH {_LOG}, n AS (SELECT count(*) AS n FROM {_snapshot('log')})
 SELECT 'before' AS side, n FROM n UNION ALL SELECT 'after', n FROM n UNION ALL SELECT 'missing', 0 UNION ALL SELECT 'extra', 0""",
     "service_status": f"""WITH {_JOBS}, {_STARTED.removeprefix(_EV + ', ')}
-SELECT 'history_size' AS name, least(count(*), 100) AS n FROM policy WHERE hour IS NOT NULL AND decision <> 'NONE' UNION ALL SELECT 'active_migrations', count(*) FROM started""",
+SELECT 'history_size' AS name, least(count(*), 100) AS n FROM policy WHERE hour IS NOT NULL AND decision <> 'NONE' UNION ALL SELECT 'active_migrations', count(*) FROM started
+UNION ALL SELECT 'started', 1 UNION ALL SELECT 'planner_active', 1""",
     "retry_delays": "SELECT CAST(i AS INTEGER) AS attempt, (i + 1) * 1000 AS delay_ms FROM range(3) r(i)",
     "barrier_messages": f"""WITH {_EV} SELECT migration_id, CASE WHEN migration_id % 2 = 0 THEN -migration_id - 1 ELSE migration_id END AS checkpoint_id,
   key_group AS partition_id, subtask AS source, (subtask + 1) % 4 AS target FROM ev""",
+    "commit_replay": f"""WITH {_LOG}, late AS (SELECT key, count(*) AS n FROM log WHERE seq > m * 0.97e0 GROUP BY key)
+SELECT key, value, coalesce(n, 0) AS n_replayed FROM {_snapshot('log')} LEFT JOIN late USING (key) WHERE key % 32 IN (8, 9, 10)""",
+    "precopy_monitor": f"""WITH {_EV}, sizes AS (SELECT migration_id, CAST(event_id % 8 + 1 AS INTEGER) AS round, strlen(props) * 1000 AS bytes FROM ev),
+ends AS (SELECT migration_id, min(round) FILTER (WHERE bytes < 8500 AND round <= 5) AS c, max(round) AS last FROM sizes GROUP BY migration_id)
+SELECT migration_id, coalesce(c, least(last, 5)) AS rounds, CASE WHEN c IS NOT NULL THEN 'AWAIT_BARRIER' WHEN last >= 5 THEN 'ABORTED' ELSE 'PRE_COPY' END AS state FROM ends""",
+    "migration_events": f"WITH {_MESSAGES} SELECT * FROM messages",
+    "message_states": f"""WITH {_MESSAGES}, ends AS (
+  SELECT migration_id, min(seq) FILTER (WHERE state IN ('COMMITTED', 'ABORTED')) AS e, count(*) AS n FROM messages GROUP BY migration_id
+), latest AS (
+  SELECT migration_id, arg_max(state, seq) AS state, max(seq) AS seq FROM messages JOIN ends USING (migration_id) WHERE state IS NOT NULL AND (e IS NULL OR seq <= e) GROUP BY migration_id
+) SELECT migration_id, coalesce(state, 'IDLE') AS state, seq, n AS n_messages FROM ends LEFT JOIN latest USING (migration_id)""",
+    "memory_ratio": f"""WITH {_PARTS}, used AS (SELECT subtask, CAST(sum(state_size) AS BIGINT) AS used, CAST(CASE WHEN subtask < 3 THEN (subtask + 1) * 50000 END AS INTEGER) AS capacity FROM parts GROUP BY subtask)
+SELECT subtask, used, capacity, round(CAST(used AS DOUBLE) / capacity, 9) AS ratio FROM used""",
+    "buffer_replay": f"""WITH {_EV}, counted AS (SELECT event_id AS seq, key_group, count(*) OVER (PARTITION BY key_group ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS count FROM ev WHERE key_group IN (8, 9, 10))
+SELECT seq, key_group, count FROM counted WHERE seq > (SELECT max(event_id) FROM events) * 0.6e0""",
 }

@@ -11,6 +11,10 @@ from keyflow.sources import tables
 
 GROUPS, PARALLELISM = 32, 4
 LOW, HIGH, ROUNDS = 0.5, 0.9, 4
+#: Where the barrier stands in the change log: what comes later is buffered and replayed.
+CUT = 0.97
+#: Bytes below which a round of a migration's pre-copy ends it.
+DELTA = 8_500
 MOVED = [8, 9, 10]
 #: Bytes below which a round of the fixture counts as small.
 SMALL = 26_000
@@ -71,6 +75,14 @@ def _rounds(spark, folder):
     return _events(spark, folder).select("migration_id", (F.pmod("event_id", F.lit(8)) + 1).cast("int").alias("round"), (F.octet_length("props") * 1000).cast("long").alias("bytes"), "ts")
 
 
+def _messages(spark, folder):
+    """A log of messages of migrations: kinds in a mixed order, some of them with a state of their own."""
+    kinds = F.array(*map(F.lit, sorted(migration.MESSAGES)))
+    kind = F.element_at(kinds, (F.pmod(F.col("event_id") * 7 + F.col("migration_id"), F.lit(len(migration.MESSAGES))) + 1).cast("int"))
+    state = F.element_at(F.array(*map(F.lit, migration.STATES)), (F.pmod("event_id", F.lit(len(migration.STATES))) + 1).cast("int"))
+    return _events(spark, folder).select("migration_id", F.col("event_id").alias("seq"), kind.alias("kind"), state.alias("state"))
+
+
 def _records(spark, folder):
     """Records behind the barrier of the migrating key groups."""
     events = _events(spark, folder).withColumn("seq", F.col("event_id"))
@@ -80,7 +92,9 @@ def _records(spark, folder):
 
 def _samples(spark, folder):
     """Hourly samples of the job, and scenarios that reach every branch of the policy and every exact threshold."""
-    jobs = metrics.job_metrics(_events(spark, folder)).withColumn("scenario", F.lit("hour"))
+    events = _events(spark, folder)
+    jobs = metrics.job_metrics(events).join(metrics.hourly_bottleneck(events), "hour").join(metrics.hourly_imbalance(events, policy.PolicyConfig().imbalance), "hour")
+    jobs = jobs.withColumn("scenario", F.lit("hour"))
     cases = [
         ("cpu", 0.9, 0.1, 10.0, False, 0.0, 0.0, 4), ("cpu at limit", 0.8, 0.5, 10.0, False, 0.0, 0.0, 4), ("memory", 0.5, 0.9, 10.0, False, 0.0, 0.0, 4),
         ("memory at limit", 0.5, 0.85, 10.0, False, 0.0, 0.0, 4), ("latency", 0.5, 0.5, 1500.0, False, 0.0, 0.0, 4), ("latency at limit", 0.5, 0.5, 1000.0, False, 0.0, 0.0, 4),
@@ -89,7 +103,7 @@ def _samples(spark, folder):
         ("uneven at limit", 0.5, 0.5, 10.0, False, 0.0, 0.3, 4), ("at most", 0.9, 0.1, 10.0, False, 0.0, 0.5, 128), ("at least", 0.1, 0.1, 10.0, False, 0.0, 0.5, 1), ("one up", 0.9, 0.1, 10.0, False, 0.0, 0.0, 1),
     ]
     fixed = spark.createDataFrame(cases, "scenario string, cpu double, mem double, p99 double, backpressured boolean, bottleneck_bp double, imbalance double, parallelism int")
-    hourly = jobs.select("scenario", "hour", "cpu", "mem", "p99", "backpressured", F.col("bp").alias("bottleneck_bp"), F.lit(0.0).alias("imbalance"), F.lit(PARALLELISM).alias("parallelism"), "throughput")
+    hourly = jobs.select("scenario", "hour", "cpu", "mem", "p99", "backpressured", "bottleneck_bp", "imbalance", F.lit(PARALLELISM).alias("parallelism"), "throughput")
     return hourly.unionByName(fixed.withColumns({"hour": F.lit(None).cast("timestamp_ntz"), "throughput": F.lit(0.0)}).select(*hourly.columns))
 
 
@@ -137,7 +151,7 @@ def merge_partials(spark, folder):
 
 
 def last_n_values(spark, folder):
-    return aggregates.last_n_values(tables.events(spark, folder), 5)
+    return aggregates.last_n_values(tables.events(spark, folder), 1000, "1 minute")
 
 
 def tokenize(spark, folder):
@@ -337,9 +351,10 @@ def plan_for_partition(spark, folder):
 
 
 def barrier_match(spark, folder):
-    plans = _barriers(spark, folder).select("migration_id", F.explode("plans").alias("p")).select("migration_id", "p.partition_id", "p.source", "p.target")
-    active = start_migrations(spark, folder).select(F.col("migration_id").alias("active_id"), "partition_id")
-    return plans.join(F.broadcast(active), "partition_id").select("migration_id", "partition_id", "source", "target", "active_id")
+    """Plans of barriers and the active migrations of the same partition of the same operator."""
+    plans = _barriers(spark, folder).select("migration_id", F.lit("job").alias("operator_id"), F.explode("plans").alias("p")).select("migration_id", "operator_id", "p.*")
+    active = start_migrations(spark, folder).select(F.col("migration_id").alias("active_id"), F.lit("job").alias("operator_id"), "partition_id")
+    return plans.join(F.broadcast(active), ["operator_id", "partition_id"]).select("migration_id", "partition_id", "source", "target", "active_id")
 
 
 def post_barrier_buffer(spark, folder):
@@ -350,6 +365,14 @@ def flush_order(spark, folder):
     return barriers.flush(_records(spark, folder)).select("seq", "key_group", "place")
 
 
+def buffer_replay(spark, folder):
+    """Counts of the migrating key groups going on behind the barrier from what they were at it."""
+    events = _events(spark, folder).withColumn("seq", F.col("event_id"))
+    last = events.agg(F.max("seq")).first()[0] or 0
+    before = events.where(F.col("key_group").isin(MOVED) & (F.col("seq") <= last * 0.6)).groupBy("key_group").count()
+    return barriers.replay(before, _records(spark, folder))
+
+
 def buffer_stats(spark, folder):
     return barriers.buffer_stats(_records(spark, folder))
 
@@ -383,7 +406,29 @@ def timeouts(spark, folder):
 
 
 def target_after_commit(spark, folder):
-    return migration.migrate(_log(spark, folder), _moved(), LOW, HIGH, ROUNDS)
+    return migration.migrate(_log(spark, folder), _moved(), LOW, HIGH, ROUNDS, CUT)
+
+
+def commit_replay(spark, folder):
+    log = _log(spark, folder)
+    return migration.replayed(migration.committed(log, _moved(), LOW, HIGH, ROUNDS, CUT), migration.buffered(log, _moved(), CUT))
+
+
+def precopy_monitor(spark, folder):
+    return migration.precopy_monitor(_rounds(spark, folder), DELTA, 5)
+
+
+def migration_events(spark, folder):
+    return migration.events_of(_messages(spark, folder))
+
+
+def message_states(spark, folder):
+    return migration.fold(_messages(spark, folder))
+
+
+def memory_ratio(spark, folder):
+    capacity = F.when(F.col("subtask") < 3, (F.col("subtask") + 1) * 50_000)
+    return metrics.memory_ratio(_partitions(spark, folder).withColumn("memory_capacity", capacity))
 
 
 def source_after_commit(spark, folder):
@@ -413,8 +458,9 @@ def barrier_messages(spark, folder):
 def service_status(spark, folder):
     history = scaling_history(spark, folder).agg(F.count("*").alias("history_size"))
     active = start_migrations(spark, folder).agg(F.count("*").alias("active_migrations"))
-    rows = [history.select(F.lit("history_size").alias("name"), F.col("history_size").alias("n")), active.select(F.lit("active_migrations").alias("name"), F.col("active_migrations").alias("n"))]
-    return rows[0].unionByName(rows[1])
+    on = spark.createDataFrame([("started", 1), ("planner_active", 1)], "name string, n long")
+    counts = [f.select(F.lit(f.columns[0]).alias("name"), F.col(f.columns[0]).alias("n")) for f in (history, active)]
+    return on.unionByName(counts[0]).unionByName(counts[1])
 
 
 QUERIES = {
@@ -427,6 +473,7 @@ QUERIES = {
         scale_out_plan, scale_in_plan, rebalance_plan, filter_overlapping, reject_overlapping, start_migrations, barrier_alignment, blocked_channels, barrier_kinds,
         barrier_size, affected_partitions, plan_for_partition, barrier_match, post_barrier_buffer, flush_order, buffer_stats, buffer_overflow, state_flags,
         transition_matrix, migration_history, illegal_transitions, migration_progress, timeouts, target_after_commit, source_after_commit, abort_rollback,
-        migration_equivalence, service_status, retry_delays, barrier_messages,
+        migration_equivalence, service_status, retry_delays, barrier_messages, commit_replay, precopy_monitor, migration_events, message_states, memory_ratio,
+        buffer_replay,
     )
 }

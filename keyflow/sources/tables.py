@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Vocabulary of the word generator.
-WORDS = ("spark", "stream", "table", "state", "migration", "elastic", "partition", "scale", "latency", "cluster", "system", "data", "process", "real-time")
+WORDS = ("amber", "basalt", "cedar", "dune", "fjord", "glacier", "heron", "juniper")
 SENSORS = tuple(f"sensor-{i}" for i in range(1, 11))
 
 
@@ -54,11 +54,18 @@ def state_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
     return spark.read.format("statestore").load(checkpoint)
 
 
+PROGRESS = "query_id string, batch_id long, operator int, input_rate double, state_rows long, state_bytes long, dropped long"
+
+
+def progress_tuples(progress: dict) -> list[tuple]:
+    """The rows of one progress report of a query: one for each stateful operator."""
+    rate = float(progress.get("inputRowsPerSecond") or 0.0)
+    return [
+        (str(progress["id"]), int(progress["batchId"]), i, rate, int(s["numRowsTotal"]), int(s["memoryUsedBytes"]), int(s.get("numRowsDroppedByWatermark", 0)))
+        for i, s in enumerate(progress["stateOperators"])
+    ]
+
+
 def progress_rows(spark: SparkSession, query) -> DataFrame:
     """Operator metrics of a running query, from its recent progress."""
-    rows = [
-        (str(p["id"]), int(p["batchId"]), i, float(p.get("inputRowsPerSecond") or 0.0), int(s["numRowsTotal"]), int(s["memoryUsedBytes"]), int(s.get("numRowsDroppedByWatermark", 0)))
-        for p in query.recentProgress
-        for i, s in enumerate(p["stateOperators"])
-    ]
-    return spark.createDataFrame(rows, "query_id string, batch_id long, operator int, input_rate double, state_rows long, state_bytes long, dropped long")
+    return spark.createDataFrame([row for p in query.recentProgress for row in progress_tuples(p)], PROGRESS)

@@ -58,9 +58,45 @@ def word_count_stream(words: DataFrame) -> DataFrame:
     return words.groupBy("word").count()
 
 
-def write(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
-    """Write a stream as Parquet with a checkpoint; by default all there is now, in micro-batches, and stop."""
+class KeyedStore(StatefulProcessor):
+    """State of keys under commands (key, op, value): put replaces, delete removes, get answers. Each command gives out the
+    value that its key has after it, null for none."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.value.get()[0] if self.value.exists() else None
+        commands = pd.concat(list(rows)).sort_values("seq")
+        out = []
+        for seq, op, value in zip(commands["seq"], commands["op"], commands["value"], strict=True):
+            held = float(value) if op == "PUT" else None if op == "DELETE" else held
+            out.append((int(seq), key[0], op, held))
+        if held is None:
+            self.value.clear()
+        else:
+            self.value.update((held,))
+        yield pd.DataFrame(out, columns=["seq", "key", "op", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def store_stream(commands: DataFrame) -> DataFrame:
+    """(seq, key, op, value) for every command (seq, key, op, value) of a stream; op is PUT, DELETE or GET."""
+    return commands.groupBy("key").transformWithStateInPandas(KeyedStore(), "seq long, key string, op string, value double", "Append", "None")
+
+
+#: Milliseconds between the micro-batches of the two jobs, each of which is a checkpoint.
+INTERVALS = {"word_count": 60_000, "windowed": 30_000}
+
+
+def write(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = True, interval_ms: int | None = None) -> StreamingQuery:
+    """Write a stream as Parquet with a checkpoint; by default all there is now, in micro-batches, and stop. ``interval_ms``
+    has it go on with a micro-batch, and its checkpoint, at such intervals."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode)
+    if interval_ms is not None:
+        return writer.trigger(processingTime=f"{interval_ms} milliseconds").start()
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

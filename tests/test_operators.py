@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -42,6 +43,20 @@ def test_string_hash(spark):
     assert found == {"": 0, "a": 97, "hello world": 1794106052, "sensor-10": found["sensor-10"]}
 
 
+def test_string_hash_counts_units(spark):
+    """Characters beyond the basic plane are two units, as in Java."""
+    texts = ["\U0001f600", "a\U0001f600b", "\u00e9\u4e2d", "\U0010ffff" * 5]
+
+    def java(text):
+        h = 0
+        for i in range(0, len(raw := text.encode("utf-16-be")), 2):
+            h = (h * 31 + int.from_bytes(raw[i : i + 2], "big")) & 0xFFFFFFFF
+        return h - (1 << 32) if h >> 31 else h
+
+    frame = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert [r.h for r in frame.select(keygroups.hash_of_string(F.col("s")).alias("h")).collect()] == [java(t) for t in texts]
+
+
 def test_long_hash(spark):
     frame = spark.createDataFrame([(0,), (5,), (-1,), (1 << 40,)], "v long")
     assert [r.h for r in frame.select(keygroups.hash_of_long(F.col("v")).alias("h")).collect()] == [0, 5, 0, 256]
@@ -147,3 +162,75 @@ def test_statistics_count_empty_subtasks(spark):
     routes = routing.default_routes(spark, ["x"], 3, 2)
     row = routing.distribution_stats(routes, 4).first()
     assert (row.min_partitions, row.max_partitions, row.avg_partitions) == (0, 2, 0.75)
+
+
+def test_places_do_not_depend_on_strides(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 1, 1, 2, None])) for i in rng.sample(range(100_000), 600)]
+    frame = spark.createDataFrame(rows, "seq long, key_group int").repartition(5)
+    expected, so_far = {}, {}
+    for seq, key in sorted(rows):
+        so_far[key] = expected[seq] = so_far.get(key, 0) + 1
+    for stride in (1, 100, 10**6):
+        found = aggregates.numbered(frame, "key_group", "seq", "place", stride)
+        assert found.columns == ["seq", "key_group", "place"] and {r.seq: r.place for r in found.collect()} == expected
+
+
+def test_route_history_does_not_depend_on_strides(spark):
+    rng = random.Random(5)
+    changes = [(rng.randrange(3), rng.randrange(4), v + 1, p) for v in range(200) for p in range(rng.randint(1, 3))]
+    frame = spark.createDataFrame(changes, "partition_id int, subtask int, version long, pos int")
+    routes = routing.default_routes(spark, ["x"], 3, 2)
+    whole = sorted(map(tuple, routing.history(routes, frame, 10**6).collect()), key=str)
+    assert sorted(map(tuple, routing.history(routes, frame, 7).collect()), key=str) == whole
+    previous = {0: 0, 1: 1, 2: 0}
+    expected = {}
+    for p, s, v, pos in sorted(changes, key=lambda c: (c[2], c[3])):
+        expected[p, v, pos] = previous[p]
+        previous[p] = s
+    assert {(r[0], r[1], r[2]): r[4] for r in whole if r[2] >= 0} == expected
+
+
+def test_cooldown_is_greedy(spark):
+    rng = random.Random(6)
+    rows = [(job, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(20_000)), rng.choice(["SCALE_OUT", "NONE", "SCALE_IN"])) for job in ("a", "b", None) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "job string, hour timestamp_ntz, decision string").repartition(6)
+    expected = set()
+    for job in ("a", "b", None):
+        last = None
+        for t in sorted({t for j, t, d in rows if j == job and d != "NONE"}):
+            if last is None or (t - last).total_seconds() >= 300:
+                last = t
+                expected.add((job, t))
+    assert {(r.job, r.hour) for r in policy.cooled(frame, 300_000, "job").collect()} == expected
+
+
+def test_replay_after_the_commit(spark):
+    changes = log(spark, (1, 1, "PUT", 1.0), (5, 2, "PUT", 2.0), (8, 1, "PUT", 5.0), (9, 2, "DELETE", None), (10, 3, "PUT", 7.0))
+    state = migration.committed(changes, F.lit(True), 0.3, 0.6, 2, 0.7)
+    assert {r.key: r.value for r in state.collect()} == {1: 1.0, 2: 2.0}
+    after = migration.replayed(state, migration.buffered(changes, F.lit(True), 0.7))
+    assert {r.key: (r.value, r.n_replayed) for r in after.collect()} == {1: (5.0, 1), 3: (7.0, 1)}
+
+
+def test_precopy_is_aborted_when_it_does_not_converge(spark):
+    rows = [(m, r, b) for m, sizes in {1: [9, 5, 1], 2: [9, 9, 9, 9, 1], 3: [9], 4: [1]}.items() for r, b in enumerate(sizes, 1)]
+    found = migration.precopy_monitor(spark.createDataFrame(rows, "migration_id long, round int, bytes long"), 5, 3)
+    assert {r.migration_id: (r.rounds, r.state) for r in found.collect()} == {1: (3, "AWAIT_BARRIER"), 2: (3, "ABORTED"), 3: (1, "PRE_COPY"), 4: (1, "AWAIT_BARRIER")}
+
+
+def test_messages_fold_to_states(spark):
+    kinds = {
+        1: ["SOURCE_READY", "TARGET_READY", "COPY_START", "COPY_ROUND", "DELTA_SEND", "DELTA_DONE", "COMMIT", "STATS"],
+        2: ["SOURCE_READY", "COPY_START", "ABORT", "COPY_ROUND", "COMMIT"],
+        3: ["REPLY"],
+        4: ["SOURCE_READY", "STATE", "ROUTES"],
+    }
+    rows = [(m, i, k, "AWAIT_BARRIER" if k == "STATE" else None, 3, {"round": str(i)}) for m, some in kinds.items() for i, k in enumerate(some)]
+    frame = spark.createDataFrame(rows, "migration_id long, seq long, kind string, state string, partition_id int, detail map<string,string>")
+    found = {r.migration_id: (r.state, r.seq, r.n_messages) for r in migration.fold(frame).collect()}
+    assert found == {1: ("COMMITTED", 6, 8), 2: ("ABORTED", 2, 5), 3: ("IDLE", None, 1), 4: ("AWAIT_BARRIER", 1, 3)}
+    assert set(migration.MESSAGES) == {k for some in kinds.values() for k in some}
+    back = migration.decode(migration.encode(frame))
+    assert sorted(map(str, back.collect())) == sorted(map(str, frame.drop("state").collect()))
+    assert changelog.cleared(log(spark, (1, 1, "PUT", 1.0), (2, 1, "PUT", 2.0)), 1).count() == 1

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from keyflow.operators import barriers
@@ -67,6 +68,24 @@ def test_configuration():
     assert len(vars(config)) == 20
 
 
+def test_options_of_a_job(spark):
+    spark.conf.set("spark.keyflow.cpu_out", "0.7")
+    spark.conf.set("spark.keyflow.max_rounds", "4")
+    try:
+        config = PolicyConfig.from_options(spark)
+    finally:
+        spark.conf.unset("spark.keyflow.cpu_out")
+        spark.conf.unset("spark.keyflow.max_rounds")
+    assert config == PolicyConfig(cpu_out=0.7, max_rounds=4) and PolicyConfig.from_options(spark) == PolicyConfig()
+
+
+def test_final_barriers_carry_a_checkpoint(spark):
+    made = barriers.final(spark.createDataFrame([(0,), (7,)], "migration_id long"), 12)
+    assert {(r.checkpoint_id, len(r.plans), r.kind) for r in barriers.kinds(made).collect()} == {(12, 0, "CHECKPOINT")}
+    with pytest.raises(ValueError):
+        barriers.final(made, -1)
+
+
 def test_state_rows(spark, tmp_path):
     kept = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
