@@ -57,7 +57,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_column: str = "
     """(doc_id, n_bytes, n_tokens, over_limit): one row for each row of ``docs``.
 
     A null text counts as the empty one, with no bytes and no tokens; rows without an id or that repeat keep their rows;
-    an empty table gives an empty result. ``cache`` is a folder of Parquet files in any store, made when absent.
+    an empty table gives an empty result. ``cache`` is a folder of Parquet files in any store, made when absent; runs that
+    append to it at a time may both store a digest, which then counts once.
     """
     spark = docs.sparkSession
     mark = version(tokenizer)
@@ -67,8 +68,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_column: str = "
     texts = misses.groupBy("digest").agg(F.first("text").alias("text"))
     counted = texts.mapInArrow(released(_count(tokenizer)), "digest binary, n_tokens long")
     counted.select(F.lit(mark).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    known = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == mark)
-    if stored is not None:
-        known = _stored(spark, cache, mark)
+    known = _stored(spark, cache, mark)
     slim = frame.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return slim.join(known.select("digest", "n_tokens"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -3,7 +3,8 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from keyflow.llm import registry, simhash, tiling, toxicity
+from keyflow.llm import mixing, registry, tiling, toxicity
+from tests.llm.test_resemblance import kept
 from tests.oracle import connect, same
 
 
@@ -29,13 +30,15 @@ def test_stages_take_effect(spark, folder):
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in toxicity.score(docs, chain).collect() if not r.flagged}
     one = corpus_pipeline.materialize(steps["simhash"](spark, clean, folder), "t2")
-    found = simhash.near_duplicates(clean).collect()
-    assert {r.doc_id for r in one.collect()} == {r.component_id for r in found} and len({r.component_id for r in found}) < len(found)
+    stay = kept({r.doc_id: r.text for r in clean.collect()})
+    assert {r.doc_id for r in one.collect()} == stay and len(stay) < clean.count()
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     left = corpus_pipeline.materialize(steps["decontamination"](spark, one, folder), "t3")
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in one.collect()} - {r.doc_id for r in tiling.leaks(one, bench).collect()}
     mixed = corpus_pipeline.materialize(steps["mixing"](spark, left, folder), "t4")
     assert mixed.columns == docs.columns and set(r.doc_id for r in mixed.collect()) <= {r.doc_id for r in left.collect()}
+    words = sum(len((r.text or "").split()) for r in mixed.collect())
+    assert words == sum(r.taken for r in mixing.mix(left).collect())
     tokens = steps["token files"](spark, mixed, folder).collect()
     assert Counter(r.doc_id for r in tokens) == Counter(r.doc_id for r in mixed.collect())
     assert [r.doc_id for r in sorted(tokens, key=lambda r: r.start)] == sorted(r.doc_id for r in tokens)

@@ -51,6 +51,33 @@ def test_files_are_orc_with_bloom_filters_and_prune(spark):
     assert orc.ORCFile(local).compression.upper() == "ZSTD"
 
 
+def test_bloom_filters_row_indexes_and_statistics_are_in_the_files(spark):
+    """Read by the ORC library itself: streams of each stripe, encodings, strides, statistics, and stripes that a filter skips."""
+    path = shared_dir(spark, "t")
+    docs = spark.range(60_000).selectExpr("id * 2 AS doc_id", "concat('text ', id) AS text")
+    token_files.write_tokens(docs.repartition(3), path, WORD)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    lows = []
+    for file in spark.read.orc(f"{path}/ids").inputFiles():
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000 and reader.getCompressionKind().toString() == "ZSTD"
+        names = list(reader.getSchema().getFieldNames())
+        column = names.index("doc_id") + 1
+        rows = reader.rows()
+        for stripe, statistics in zip(reader.getStripes(), reader.getStripeStatistics(), strict=True):
+            footer = rows.readStripeFooter(stripe)
+            kinds = {x.getKind().toString() for x in footer.getStreamsList() if x.getColumn() == column}
+            assert {"ROW_INDEX", "BLOOM_FILTER_UTF8", "DATA"} <= kinds
+            ids = reader.getSchema().getChildren()[names.index("ids")].getChildren()[0].getId()
+            assert footer.getColumns(ids).getKind().toString() == "DIRECT_V2"  # run-length encoding, version 2
+            found = statistics.getColumnStatistics()[column]
+            lows.append((found.getMinimum(), found.getMaximum()))
+        rows.close()
+    assert sorted(lows) == sorted(lows, key=lambda x: x[1]) and all(a[1] < b[0] for a, b in zip(sorted(lows), sorted(lows)[1:], strict=False))
+    one = token_files.read_tokens(spark, path).where("doc_id = 41112").select("doc_id", "n_tokens")
+    assert one.count() == 1 and token_files.read_tokens(spark, path).where("doc_id = 41113").count() == 0
+
+
 def test_files_with_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "b"), (None, "c c"), (1, None)], "doc_id long, text string")
     path = shared_dir(spark, "t")
@@ -86,3 +113,18 @@ def test_only_misses_are_encoded_and_stored_once(spark):
     assert found[1] >= 1000 and found[2] == found[1] and found[None] == 1000 and found[4] < 1000
     assert spark.read.parquet(cache + "-marked").count() == 4
     assert token_counts.token_counts(empty(spark), BYTE, cache).count() == 0
+
+
+def test_a_filled_cache_is_read_and_nothing_encoded(spark):
+    """A second run over all documents joins stored counts; another tokenizer's counts stay apart; digests stored twice count once."""
+    cache, docs = shared_dir(spark, "c"), documents(spark)
+    first = sorted(map(str, token_counts.token_counts(docs, BYTE, cache).collect()))
+    stored = spark.read.parquet(cache)
+    n = stored.count()
+    assert sorted(map(str, token_counts.token_counts(docs, BYTE, cache).collect())) == first
+    assert spark.read.parquet(cache).count() == n
+    stored.write.mode("append").parquet(cache + "-twice")
+    stored.write.mode("append").parquet(cache + "-twice")
+    assert sorted(map(str, token_counts.token_counts(docs, BYTE, cache + "-twice").collect())) == first
+    token_counts.token_counts(docs, WORD, cache).count()
+    assert spark.read.parquet(cache).count() == 2 * n and spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
