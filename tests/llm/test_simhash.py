@@ -79,6 +79,40 @@ def test_null_ids_repeats_and_empty_tables(spark):
     assert simhash.keep_one(empty(spark)).columns == empty(spark).columns
 
 
+@pytest.mark.parametrize("hub", [1 << 20, 4])
+def test_components_of_any_graph(spark, monkeypatch, hub):
+    """Stars, chains and random edges, with hubs joined apart and not; loops, repeats and null ends."""
+    from keyflow.llm import components as module
+
+    monkeypatch.setattr(module, "HUB_EDGES", hub)
+    rng = random.Random(hub)
+    edges = [(1000, i) for i in range(1001, 1030)] + [(i, i + 1) for i in range(2000, 2012)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(5, 5), (None, 3), (1000, 1001)]
+    low = {}
+
+    def root(x):
+        while low.setdefault(x, x) != x:
+            x = low[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            p, q = root(a), root(b)
+            low[max(p, q)] = min(p, q)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    found = {r.node: r.root for r in components(frame).collect()}
+    assert all(found.get(x, x) == root(x) for x in list(low)) and set(found) <= set(low)
+
+
+def test_candidates_grow_with_the_square_of_few():
+    """Points that meet in a cell without being near: some millionths of all pairs, so a table of 10^8 has hundreds a point."""
+    fps = np.random.default_rng(3).integers(0, 1 << 63, 60_000, dtype=np.uint64) << np.uint64(1)
+    cell, row = simhash.cells(fps)
+    assert len(cell) < 105 * len(fps)
+    size = np.unique(cell, return_counts=True)[1]
+    pairs = (size * (size - 1) // 2).sum()
+    assert pairs < 1e-5 * len(fps) ** 2 / 2
+
+
 def test_long_chains_are_one_component(spark):
     n = 300
     edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(7)
