@@ -112,7 +112,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     counted = sized.groupBy("doc_id", "source", "size").count()
     units = counted.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("nth"))
     goals = materialize(source_targets(sized, **targets), "targets")
-    joined = units.join(F.broadcast(goals) if _few(goals) else goals, units.source.eqNullSafe(goals.source)).drop(goals.source)
+    few = _few(goals)
+    joined = units.join(F.broadcast(goals) if few else goals, units.source.eqNullSafe(goals.source)).drop(goals.source)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     planned = joined.withColumn("share", F.when(F.abs(share - F.round(share)) < 1e-12, F.round(share)).otherwise(share))
     planned = planned.withColumn("copies", F.floor("share")).withColumn("x", F.when(F.col("size") > 0, F.col("share") - F.floor("share")).otherwise(0.0))
@@ -121,11 +122,12 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     settled = [planned.where("x <= 0").select("source", "doc_id", "nth", "size", "copies")]
     level, open_units = 0, planned.where("x > 0").select(*keys)
     unit = F.struct("doc_id", "nth", "size", "x", "copies")
+    # How many groups a source has in the first level; each leaves one document at most, so those of the next follow.
+    groups = open_units.groupBy("source").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    groups = materialize(groups, "groups")
+    most = groups.agg(F.max("groups")).first()[0] or 1
     while True:
-        groups = open_units.groupBy("source").agg(F.count("*").alias("n")).select("source", F.ceil(F.col("n") / GROUP).alias("groups"))
-        groups = materialize(groups, "groups")
-        last = (groups.agg(F.max("groups")).first()[0] or 1) <= 1
-        placed = open_units.join(F.broadcast(groups) if _few(groups) else groups, open_units.source.eqNullSafe(groups.source)).drop(groups.source)
+        placed = open_units.join(F.broadcast(groups) if few else groups, open_units.source.eqNullSafe(groups.source)).drop(groups.source)
         slot = F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "nth", "size"), F.col("groups"))
         order = F.xxhash64(F.lit(seed - 1 - level), "doc_id", "nth").alias("order")
         met = placed.groupBy("source", slot.alias("slot")).agg(F.sort_array(F.collect_list(F.struct(order, unit.alias("unit")))).alias("units"))
@@ -134,16 +136,17 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         done = met.select("source", F.inline("state.done")).select("source", "doc_id", "nth", "size", "copies")
         settled.append(done)
         held = met.where("state.held is not null").select("source", "state.held.*").select(*keys)
-        if last:
+        if most <= 1:
             # One document of a source is left: the nearer whole number keeps the source nearest to its target.
             up = F.round("x").cast("long")
             settled.append(held.select("source", "doc_id", "nth", "size", (F.col("copies") + up).alias("copies")))
             break
+        groups, most = groups.withColumn("groups", F.ceil(F.col("groups") / GROUP)), -(-most // GROUP)
         open_units, level = held, level + 1
     every = settled[0]
     for more in settled[1:]:
         every = every.unionByName(more)
-    out = every.join(F.broadcast(goals) if _few(goals) else goals, every.source.eqNullSafe(goals.source)).drop(goals.source)
+    out = every.join(F.broadcast(goals) if few else goals, every.source.eqNullSafe(goals.source)).drop(goals.source)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
