@@ -51,6 +51,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that a task deals with on average, where there are more than the session's shuffle partitions hold.
+TASK_BYTES = 96 << 20
+
+
+def tasks(frame: DataFrame, *columns: str) -> tuple[int, int]:
+    """(tasks, bytes): the bytes of some columns, and into how many tasks to deal them: the session's number of shuffle
+    partitions, or more where those would grow with the input."""
+    size = sum(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in columns)
+    total = int(frame.agg(size.alias("n")).first()[0] or 0)
+    return max(partitions(frame.sparkSession), total // TASK_BYTES), total
+
+
 def _give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -29,9 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from keyflow.llm.common import materialize, partitions, released, released_group, released_groups
+from keyflow.llm.common import materialize, partitions, released, released_group, released_groups, tasks
 from keyflow.llm.components import components
-from keyflow.llm.substrings import BUCKET_HASHES, TASK_BYTES, _bounds, _find_repeated, _pack
+from keyflow.llm.substrings import BUCKET_HASHES, _bounds, _find_repeated, _pack
 from keyflow.llm.words import scan, xxh64_spans
 
 #: Bytes of text in a chunk on average.
@@ -281,15 +281,14 @@ def alike(docs: DataFrame, id_column: str, text_column: str, width: int, share:
     spark = docs.sparkSession
     mark = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
     frame = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), mark.alias("mark"))
-    size = frame.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n, size = tasks(frame, "text")
     least = partitions(spark)
     chunks = max(2 * least, size // CHUNK_BYTES)
     buckets = 1 << (max(least, size // 6 // BUCKET_HASHES, 2) - 1).bit_length()
-    tasks = max(least, size // TASK_BYTES)
     dealt = frame.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))
-    dealt = dealt.repartition(tasks, "chunk") if tasks > least else dealt
+    dealt = dealt.repartition(n, "chunk") if n > least else dealt
     sent = dealt.groupBy("chunk").applyInArrow(released_group(_send(buckets, width)), "bucket long, chunk long, hashes binary")
-    sent = sent.repartition(tasks, "bucket") if tasks > least else sent
+    sent = sent.repartition(n, "bucket") if n > least else sent
     answers = sent.groupBy("bucket").applyInArrow(released_group(_find_repeated(buckets)), "chunk long, bucket long, bits binary")
     schema = spark.createDataFrame([], f"doc_id {dict(frame.dtypes)['doc_id']}, mark long, node binary, shingles binary").schema
     back = _may_have_copies(buckets, width, share, to_arrow_schema(schema))

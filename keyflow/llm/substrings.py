@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from keyflow.llm.common import partitions, released_group, released_groups
+from keyflow.llm.common import partitions, released_group, released_groups, tasks
 from keyflow.llm.words import Words, scan, xxh64_spans
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -29,8 +29,6 @@ _MORE = 3
 #: Bytes of text in a chunk, and distinct hashes in a bucket, on average.
 CHUNK_BYTES = 8 << 20
 BUCKET_HASHES = 1 << 20
-#: Bytes of text that a task deals with: with more than the session's shuffle partitions hold, there are more of them.
-TASK_BYTES = 96 << 20
 _SCHEMA = "doc_id {id}, n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept string"
 
 
@@ -186,15 +184,14 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     spark = docs.sparkSession
     frame = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    size = frame.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n, size = tasks(frame, "text")
     least = partitions(spark)
     chunks = max(2 * least, size // CHUNK_BYTES)
     buckets = 1 << (max(least, size // 6 // BUCKET_HASHES, 2) - 1).bit_length()
-    tasks = max(least, size // TASK_BYTES)
     dealt = frame.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))
-    dealt = dealt.repartition(tasks, "chunk") if tasks > least else dealt
+    dealt = dealt.repartition(n, "chunk") if n > least else dealt
     sent = dealt.groupBy("chunk").applyInArrow(released_group(_hash_texts(buckets, width)), "bucket long, chunk long, hashes binary")
-    sent = sent.repartition(tasks, "bucket") if tasks > least else sent
+    sent = sent.repartition(n, "bucket") if n > least else sent
     answers = sent.groupBy("bucket").applyInArrow(released_group(_find_repeated(buckets)), "chunk long, bucket long, bits binary")
     kind = dict(frame.dtypes)["doc_id"]
     schema = spark.createDataFrame([], _SCHEMA.format(id=kind)).schema

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyflow.llm.common import partitions, released, text_of
+from keyflow.llm.common import released, tasks, text_of
 from keyflow.llm.encoders import id_bytes, memo, words
 from keyflow.llm.words import slices
 
@@ -60,7 +60,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     """
     spark = docs.sparkSession
     frame = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = frame.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    dealt = frame.repartitionByRange(tasks(frame, "text")[0], "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     kind = dict(frame.dtypes)["doc_id"]
     schema = f"part int, doc_id {kind}, local_start long, n_tokens long, ids array<int>"
     dealt.select("doc_id", "text").mapInArrow(released(_encode(tokenizer, end_id)), schema).write.options(**ORC_OPTIONS).orc(f"{path}/ids")
