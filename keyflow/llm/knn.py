@@ -205,11 +205,15 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "ve
     asks = ready.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "v", "dims").agg(F.count("*").alias("times"))
     asks = materialize(asks.withColumn("uid", F.monotonically_increasing_id()), "queries")
     lengths = ready.groupBy("dims").agg(F.count("*").alias("rows"), F.max("norm").alias("top"))
-    often = lengths.orderBy(F.desc("rows"), "dims").limit(LENGTHS).collect()
-    out = _by_blocks(ready, asks, lengths, [r.dims for r in often], k)
-    for r in often:
-        mine = F.col("dims") == r.dims
-        out = out.unionByName(voronoi(ready.where(mine), asks.where(mine), r.dims, r.rows, r.top, k)) if r.dims else out.unionByName(_by_blocks(ready.where(mine), asks.where(mine), lengths, [], k))
+    often = lengths.orderBy(F.desc("rows"), "dims").limit(LENGTHS + 1).collect()
+    parts = [_by_blocks(ready, asks, lengths, [r.dims for r in often[:LENGTHS]], k)] if len(often) > LENGTHS else []
+    for r in often[:LENGTHS]:
+        rows, queries = ready.where(F.col("dims") == r.dims), asks.where(F.col("dims") == r.dims)
+        # Vectors without components have no distances: all their scores are 0.
+        parts.append(voronoi(rows, queries, r.dims, r.rows, r.top, k) if r.dims else _by_blocks(rows, queries, lengths, [], k))
+    out = spark.createDataFrame([], _FOUND)
+    for part in parts:
+        out = out.unionByName(part)
     best_of = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     merged = out.withColumn("place", F.row_number().over(best_of)).where(F.col("place") <= k + 1)
     mine = Window.partitionBy("uid", "own").orderBy("place")
