@@ -44,6 +44,24 @@ def log_size(log: DataFrame, *by: str) -> DataFrame:
     return sized.withColumn("serialized_bytes", F.col("bytes") + 16)
 
 
+def _hex(value: Column, digits: int) -> Column:
+    return F.lpad(F.hex(value.cast("long")), digits, "0")
+
+
+def serialise(log: DataFrame, *by: str) -> DataFrame:
+    """(by..., bytes): each compacted log (of a partition and round, say) as bytes that ``log_size`` counts. Big-endian: a
+    header of round, time (0, as order is by seq) and number of entries in 4, 8 and 4 bytes; then for each entry in order of
+    key 1 byte for its kind (1 put, 2 delete), the key's digits and the value after their lengths in 4 bytes each, the value
+    in hundredths in 8 bytes, and seq in 8. A log's entries meet in one task, as its bytes do."""
+    key = F.col("key").cast("string")
+    value = F.when(F.col("value").isNull(), F.lit("00000000")).otherwise(F.concat(F.lit("00000008"), _hex(F.round(F.col("value") * 100), 16)))
+    entry = F.concat(F.when(F.col("op") == PUT, "01").otherwise("02"), _hex(F.octet_length(key), 8), F.hex(key), value, _hex(F.col("seq"), 16))
+    grouped = compact(log, *by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("key", entry.alias("entry")))).alias("entries"))
+    number = F.col("round") if "round" in by else F.lit(0)
+    head = F.concat(_hex(number, 8), _hex(F.lit(0), 16), _hex(F.size("entries"), 8))
+    return grouped.select(*by, F.unhex(F.concat(head, F.array_join(F.transform("entries", lambda e: e.entry), ""))).alias("bytes"))
+
+
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     """Union of two logs in which an entry of the second replaces one of the first, whatever their seq."""
     both = first.withColumn("log", F.lit(1)).unionByName(second.withColumn("log", F.lit(2)))

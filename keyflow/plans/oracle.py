@@ -26,10 +26,10 @@ def _snapshot(source: str) -> str:
     return f"(SELECT key, value FROM {_latest(source)} WHERE op = 'PUT')"
 
 
-_ROUNDS = f"""{_LOG}, rounds AS (
+_ROUNDS_LOG = f"""{_LOG}, rounds AS (
   SELECT *, CAST(least(greatest(ceil((seq - m * 0.5e0) / ((0.9e0 - 0.5e0) * m / 4)), 1), 4) AS INTEGER) AS round
-  FROM log WHERE seq > m * 0.5e0 AND seq <= m * 0.9e0
-), sizes AS (
+  FROM log WHERE seq > m * 0.5e0 AND seq <= m * 0.9e0)"""
+_ROUNDS = f"""{_ROUNDS_LOG}, sizes AS (
   SELECT round, count(*) AS entries, CAST(sum({_SIZE}) AS BIGINT) AS bytes FROM {_latest("rounds", "round")} GROUP BY round)"""
 
 _AVG = "round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6)"
@@ -277,4 +277,10 @@ SELECT migration_id, coalesce(c, least(last, 5)) AS rounds, CASE WHEN c IS NOT N
 SELECT subtask, used, capacity, round(CAST(used AS DOUBLE) / capacity, 9) AS ratio FROM used""",
     "buffer_replay": f"""WITH {_EV}, counted AS (SELECT event_id AS seq, key_group, count(*) OVER (PARTITION BY key_group ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS count FROM ev WHERE key_group IN (8, 9, 10))
 SELECT seq, key_group, count FROM counted WHERE seq > (SELECT max(event_id) FROM events) * 0.6e0""",
+    "delta_bytes": f"""WITH {_ROUNDS_LOG}, latest AS (SELECT * FROM {_latest("rounds", "round")}), entries AS (
+  SELECT round, CAST(key % 32 AS INTEGER) AS key_group, key,
+         CASE WHEN op = 'PUT' THEN '01' ELSE '02' END || printf('%08X', strlen(CAST(key AS VARCHAR))) || hex(CAST(key AS VARCHAR)) || CASE WHEN value IS NULL THEN '00000000' ELSE '00000008' || printf('%016X', CAST(round(value * 100) AS BIGINT)) END || printf('%016X', seq) AS e
+  FROM latest
+), texts AS (SELECT round, key_group, printf('%08X', round) || repeat('0', 16) || printf('%08X', count(*)) || string_agg(e, '' ORDER BY key) AS t FROM entries GROUP BY round, key_group)
+SELECT round, key_group, CAST(strlen(t) // 2 AS BIGINT) AS n_bytes, sha256(t) AS digest FROM texts""",
 }

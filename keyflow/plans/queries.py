@@ -246,6 +246,13 @@ def precopy_rounds(spark, folder):
     return _sizes(spark, folder)
 
 
+def delta_bytes(spark, folder):
+    """Length and digest of the serialised deltas of each key group and round."""
+    parts = changelog.rounds(_log(spark, folder), LOW, HIGH, ROUNDS).withColumn("key_group", F.pmod("key", F.lit(GROUPS)).cast("int"))
+    made = changelog.serialise(parts, "round", "key_group")
+    return made.select("round", "key_group", F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2(F.hex("bytes"), 256).alias("digest"))
+
+
 def convergence(spark, folder):
     return changelog.convergence(_sizes(spark, folder), SMALL, 2.0, 1.0)
 
@@ -474,6 +481,6 @@ QUERIES = {
         barrier_size, affected_partitions, plan_for_partition, barrier_match, post_barrier_buffer, flush_order, buffer_stats, buffer_overflow, state_flags,
         transition_matrix, migration_history, illegal_transitions, migration_progress, timeouts, target_after_commit, source_after_commit, abort_rollback,
         migration_equivalence, service_status, retry_delays, barrier_messages, commit_replay, precopy_monitor, migration_events, message_states, memory_ratio,
-        buffer_replay,
+        buffer_replay, delta_bytes,
     )
 }

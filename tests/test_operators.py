@@ -234,3 +234,19 @@ def test_messages_fold_to_states(spark):
     back = migration.decode(migration.encode(frame))
     assert sorted(map(str, back.collect())) == sorted(map(str, frame.drop("state").collect()))
     assert changelog.cleared(log(spark, (1, 1, "PUT", 1.0), (2, 1, "PUT", 2.0)), 1).count() == 1
+
+
+def test_serialised_logs_are_read_back(spark):
+    rows = log(spark, (1, 10, "PUT", 1.25), (2, 10, "PUT", 3.5), (3, 7, "DELETE", None), (9, 123, "PUT", 0.0))
+    raw = bytes(changelog.serialise(rows).first().bytes)
+    assert len(raw) == changelog.log_size(rows).first().serialized_bytes
+    assert raw[:16] == bytes(15) + b"\x03"
+    found, at = {}, 16
+    while at < len(raw):
+        op, n = raw[at], int.from_bytes(raw[at + 1 : at + 5], "big")
+        key, at = int(raw[at + 5 : at + 5 + n]), at + 5 + n
+        n, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
+        value = int.from_bytes(raw[at : at + n], "big") / 100 if n else None
+        found[key] = ({1: "PUT", 2: "DELETE"}[op], value, int.from_bytes(raw[at + n : at + n + 8], "big"))
+        at += n + 8
+    assert found == {7: ("DELETE", None, 3), 10: ("PUT", 3.5, 2), 123: ("PUT", 0.0, 9)}
