@@ -3,7 +3,7 @@
 Every step is a partial minimum per node and a join on the node; the edge table is written to the shared folder
 between steps, so lost executors repeat one step only. Nothing is collected but three numbers a round. Nodes with more than
 ``HUB_EDGES`` edges (there are as many as edges / ``HUB_EDGES`` at most) are joined by broadcast, so a component of a third of
-all nodes is no hot key.
+all nodes is no hot key. Tables of up to ``FEW_EDGES`` edges are dealt over a few tasks, with their minima broadcast.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyflow.llm.common import materialize
+from keyflow.llm.common import materialize, partitions
 
 
 #: Edges of a node from which it is joined apart.
 HUB_EDGES = 1 << 20
+#: Edges up to which a step has a few tasks and minima are broadcast.
+FEW_EDGES = 1 << 18
 
 
 def local_stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,12 +42,21 @@ def local_stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return nodes[moved], nodes[label[moved]]
 
 
+def _dealt(edges: DataFrame, count: int) -> DataFrame:
+    """A few edges (``count`` at most) by their a over a few tasks, so that no step has a task for each shuffle partition."""
+    if count > FEW_EDGES:
+        return edges
+    return edges.repartition(min(partitions(edges.sparkSession), max(8, count // 32_768)), "a")
+
+
 def _lowest(edges: DataFrame, name: str) -> DataFrame:
     return materialize(edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), name)
 
 
 def _with_lowest(edges: DataFrame, low: DataFrame, count: int) -> DataFrame:
     """``edges`` with the low of their a; ``count`` edges there are at most."""
+    if count <= FEW_EDGES:
+        return edges.join(F.broadcast(low.drop("n")), "a")  # FEW_EDGES rows at most
     if count <= HUB_EDGES:
         return edges.join(low.drop("n"), "a")
     hubs = F.broadcast(low.where(F.col("n") > HUB_EDGES).drop("n"))  # count / HUB_EDGES rows at most
@@ -60,14 +71,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("ok").select("a", "b").distinct(), "edges")
     seen, count = None, edges.count()
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        many = 2 * count
+        both = _dealt(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), many)
         low = _lowest(both, "large").withColumn("low", F.least("a", "low"))
-        large = _with_lowest(both, low, 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = materialize(large.where("a != b").distinct(), "large-star")
-        low = _lowest(large, "small")
-        small = _with_lowest(large, low, 2 * count).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = _with_lowest(both, low, many).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = materialize(_dealt(large.where("a != b"), many).distinct(), "large-star")
+        low = _lowest(_dealt(large, many), "small")
+        small = _with_lowest(large, low, many).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(low.select("a", F.col("low").alias("b")))
-        edges = materialize(small.distinct(), "small-star")
+        edges = materialize(_dealt(small, many).distinct(), "small-star")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.xxhash64("b", "a") % 1000003))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

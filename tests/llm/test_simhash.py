@@ -79,12 +79,13 @@ def test_null_ids_repeats_and_empty_tables(spark):
     assert simhash.keep_one(empty(spark)).columns == empty(spark).columns
 
 
-@pytest.mark.parametrize("hub", [1 << 20, 4])
-def test_components_of_any_graph(spark, monkeypatch, hub):
+@pytest.mark.parametrize(("hub", "few"), [(1 << 20, 1 << 18), (1 << 20, 0), (4, 0)])
+def test_components_of_any_graph(spark, monkeypatch, hub, few):
     """Stars, chains and random edges, with hubs joined apart and not; loops, repeats and null ends."""
     from keyflow.llm import components as module
 
     monkeypatch.setattr(module, "HUB_EDGES", hub)
+    monkeypatch.setattr(module, "FEW_EDGES", few)
     rng = random.Random(hub)
     edges = [(1000, i) for i in range(1001, 1030)] + [(i, i + 1) for i in range(2000, 2012)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(5, 5), (None, 3), (1000, 1001)]
     low = {}
