@@ -43,7 +43,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for frames from which nothing is read any more."""
+    for frame in frames:
+        path = getattr(frame, "_materialized", None)
+        if path:
+            spark = frame.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,9 +1,10 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a partial minimum per node and a join on the node; the edge table is written to the shared folder
-between steps, so lost executors repeat one step only. Nothing is collected but three numbers a round. Nodes with more than
-``HUB_EDGES`` edges (there are as many as edges / ``HUB_EDGES`` at most) are joined by broadcast, so a component of a third of
-all nodes is no hot key. Tables of up to ``FEW_EDGES`` edges are dealt over a few tasks, with their minima broadcast.
+between steps, so lost executors repeat one step only; what a step has read is deleted after the next. Nothing is
+collected but three numbers a round. Nodes with more than ``HUB_EDGES`` edges (there are as many as edges / ``HUB_EDGES``
+at most) are joined by broadcast, so a component of a third of all nodes is no hot key. Tables of up to ``FEW_EDGES`` edges
+are dealt over a few tasks, with their minima broadcast.
 """
 
 from __future__ import annotations
@@ -12,8 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyflow.llm.common import materialize, partitions
-
+from keyflow.llm.common import forget, materialize, partitions
 
 #: Edges of a node from which it is joined apart.
 HUB_EDGES = 1 << 20
@@ -73,13 +73,16 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         many = 2 * count
         both = _dealt(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), many)
-        low = _lowest(both, "large").withColumn("low", F.least("a", "low"))
+        least = _lowest(both, "large")
+        low = least.withColumn("low", F.least("a", "low"))
         large = _with_lowest(both, low, many).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = materialize(_dealt(large.where("a != b"), many).distinct(), "large-star")
+        forget(edges, least)
         low = _lowest(_dealt(large, many), "small")
         small = _with_lowest(large, low, many).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(low.select("a", F.col("low").alias("b")))
         edges = materialize(_dealt(small, many).distinct(), "small-star")
+        forget(large, low)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.xxhash64("b", "a") % 1000003))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
