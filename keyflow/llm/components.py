@@ -43,10 +43,11 @@ def local_stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _dealt(edges: DataFrame, count: int) -> DataFrame:
-    """A few edges (``count`` at most) by their a over a few tasks, so that no step has a task for each shuffle partition."""
+    """A few edges (``count`` at most) over a few tasks, those of a hub over all of them, so that what is written has no file
+    for each shuffle partition."""
     if count > FEW_EDGES:
         return edges
-    return edges.repartition(min(partitions(edges.sparkSession), max(8, count // 32_768)), "a")
+    return edges.repartition(min(partitions(edges.sparkSession), max(8, count // 32_768)), "a", "b")
 
 
 def _lowest(edges: DataFrame, name: str) -> DataFrame:
@@ -72,13 +73,13 @@ def components(edges: DataFrame) -> DataFrame:
     seen, count = None, edges.count()
     while True:
         many = 2 * count
-        both = _dealt(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), many)
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _lowest(both, "large")
         low = least.withColumn("low", F.least("a", "low"))
         large = _with_lowest(both, low, many).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = materialize(_dealt(large.where("a != b"), many).distinct(), "large-star")
         forget(edges, least)
-        low = _lowest(_dealt(large, many), "small")
+        low = _lowest(large, "small")
         small = _with_lowest(large, low, many).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(low.select("a", F.col("low").alias("b")))
         edges = materialize(_dealt(small, many).distinct(), "small-star")
