@@ -2,18 +2,23 @@
 
 A page is read into blocks of text. Each lies in the article (``article``, ``main`` or an equivalent role), in what markup
 names as boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments), or outside both. Pages are
-sorted by host and path; each is paired with the nearest page by path that differs from it, their lines outside articles
-are aligned by longest common subsequence, and lines that they share are deleted: they belong to the template. A page with
-an article gives its article; one without gives what is left outside. Lines of an article are never deleted, as articles
-are copied between pages and passages of theirs are no template.
+sorted by host and path; each is paired with the nearest pages by path that differ from it, their lines are aligned by
+longest common subsequence, and lines that they share are deleted: they belong to the template. Markup is asked about what
+is left: a page with lines of an article gives these, another what is left outside articles and boilerplate.
 
-A page whose lines outside articles are the same as another's is its copy and no partner for differencing, nor is one that
-shares more than ``COPY`` of them: then the nearest differing page on the other side is, and if that is a copy too nothing
-is deleted. So pages that repeat keep their text.
+Lines outside articles are template if the nearest page has them. Articles are copied between pages, passages of theirs too,
+and many articles may end with the same line, so lines of an article need more: all of the next ``REACH`` pages on
+each side share them, and ``WITNESSES`` or more at the same place from the start or the end of their articles. Headings stay,
+unless all of the article is template. A page that shares more than ``VERSION`` of the longer one's text, or more than ``COPY``
+of this one's, is another version of it and says nothing about template.
+
+A page with the same lines as another is its copy and no partner for differencing, nor is for lines outside articles one
+that shares more than ``COPY`` of them: then the nearest differing page on the other side is, and if that is a copy too
+nothing is deleted. So pages that repeat keep their text.
 
 Pages are dealt out by ranges of (host, path), a partition for each range, and streamed in that order. The nearest
 differing pages before and after each range also go to it, so a host with a third of all pages is cut anywhere and results
-do not depend on where. A partition holds the ids and URLs of one run of copies, and the lines of three pages.
+do not depend on where. A partition holds the ids and URLs of the copies of five pages in a row, and the lines of nine.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 from hashlib import blake2b
 from urllib.parse import urlsplit
@@ -35,6 +41,11 @@ from keyflow.llm.common import released, tasks
 
 #: Share of a page's text outside articles from which on another page that has it too is a copy, not a template.
 COPY = 0.9
+#: Share of the longer page's text from which on two pages that have it are versions of one another, for lines of articles.
+VERSION = 0.5
+#: Pages on each side that lines of articles are compared with, and how many must have a line at the same place.
+REACH = 4
+WITNESSES = 4
 #: Cells of an alignment that are kept at once, in bits.
 _ALIGN_BITS = 1 << 26
 
@@ -92,6 +103,8 @@ _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+#: A block of a page: its zone, its text, and whether it is a heading.
+Line = tuple[int, str, bool]
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in _RAW_TEXT}
 
 
@@ -221,15 +234,20 @@ class _Open:
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(zone, text) of each block in page order. Character references are decoded; white space becomes one space."""
-    out: list[tuple[int, str]] = []
+    return [(z, t) for z, t, _ in page_lines(page)]
+
+
+def page_lines(page: str | None) -> list[Line]:
+    """The blocks of a page, and whether each is a heading."""
+    out: list[Line] = []
     tree, parts = _Open(), []
-    zone = tree.zone
+    zone, heading = tree.zone, False
 
     def close() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split()) if zone != NOTHING else ""
             if text:
-                out.append((zone, text))
+                out.append((zone, text, heading))
             parts.clear()
 
     page, at = page or "", 0
@@ -260,6 +278,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if tag in _BLOCK or tree.zone != zone:
             close()
             zone = tree.zone
+            if tag in _BLOCK:
+                heading = tag in _HEADINGS and not m[1]
         if tag in _SPACED:
             parts.append(" ")
     if at < len(page):
@@ -344,9 +364,9 @@ def _key(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def _digest(url: str | None, found: list[tuple[int, str]]) -> str:
-    """Host and lines outside articles: what makes a page another's copy."""
-    lines = (f"{z}{t}" for z, t in found if z != ARTICLE)
+def _digest(url: str | None, found: list[Line]) -> str:
+    """Host and lines: what makes a page another's copy."""
+    lines = (f"{z}{h:d}{t}" if z == ARTICLE else f"{z}{t}" for z, t, h in found)
     return blake2b("\x00".join((_key(url)[0], *lines)).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
@@ -372,63 +392,101 @@ def without_shared(mine: list[str], other: list[str]) -> set[int] | None:
     return gone
 
 
-def main_text(found: list[tuple[int, str]], partners: list[list[str]]) -> str:
-    """The main text of a page of these blocks. ``partners``: the lines outside articles of the pages that it may be
-    compared with, the nearest first."""
-    if any(z == ARTICLE for z, _ in found):
-        return "\n\n".join(t for z, t in found if z == ARTICLE)
-    mine = [t for _, t in found]
-    gone = next((g for g in (without_shared(mine, other) for other in partners) if g is not None), set())
-    return "\n\n".join(t for i, (z, t) in enumerate(found) if z == OUTSIDE and i not in gone)
+def article_shared(mine: list[Line], other: list[Line]) -> dict[int, bool] | None:
+    """Places of ``mine`` in its article that ``other`` shares, and whether it has them at the same place from the start or
+    the end of its own; None if ``other`` can't tell, as it has no article or is another version of the page."""
+    sides = [([i for i, line in enumerate(mine) if line[0] == zone], [t for z, t, _ in other if z == zone]) for zone in (OUTSIDE, ARTICLE)]
+    at, theirs = sides[1]
+    if not theirs:
+        return None
+    gone = {some[k] for some, others in sides for k in shared_lines([mine[i][1] for i in some], others)}
+    size, longer = sum(len(mine[i][1]) for some, _ in sides for i in some), sum(len(t) for _, others in sides for t in others)
+    if sum(len(mine[i][1]) for i in gone) > min(COPY * size, VERSION * max(size, longer)):
+        return None
+    shift, out = len(theirs) - len(at), {}
+    for k, i in enumerate(at):
+        text = mine[i][1]
+        placed = theirs[k : k + 1] == [text] or (shift + k >= 0 and theirs[shift + k] == text)
+        if placed or i in gone:
+            out[i] = placed
+    return out
 
 
-class _Run:
-    """Pages in a row with the same lines outside articles. Those without an article wait for the page after the run."""
+def article_template(mine: list[Line], near: list[list[Line]]) -> set[int]:
+    """Places of ``mine`` in its article that are template by all pages of ``near`` that can tell."""
+    told: dict[int, int] = {i: 0 for i, (z, _, _) in enumerate(mine) if z == ARTICLE}
+    for found in (article_shared(mine, other) for other in near):
+        if found is not None:
+            told = {i: n + found[i] for i, n in told.items() if i in found}
+        if not told:
+            break
+    return {i for i, n in told.items() if n >= WITNESSES}
 
-    def __init__(self, before: dict | None, first: dict):
-        self.before, self.first, self.waiting, self.texts = before, first, [], {}
 
-    def text(self, url: str | None, after: dict | None) -> str:
-        host, path = _key(url)
-        near = [(-_common(path, _key(x["url"])[1]), i, x) for i, x in enumerate((self.before, after)) if x and host and _key(x["url"])[0] == host]
-        order = tuple(i for _, i, _ in sorted(near, key=lambda x: x[:2]))
-        if order not in self.texts:
-            found = list(zip(self.first["zones"], self.first["lines"], strict=True))
-            partners = [[t for z, t in zip(x["zones"], x["lines"], strict=True) if z != ARTICLE] for x in ((self.before, after)[i] for i in order)]
-            self.texts[order] = main_text([(z, t) for z, t in found if z != ARTICLE], partners)
-        return self.texts[order]
+def main_text(mine: list[Line], partners: list[list[Line]], near: list[list[Line]]) -> str:
+    """The main text of a page of these blocks: template is deleted by differencing, then markup decides on what is left.
+    ``partners``: the differing pages next to it, ``near``: those and the ones behind them, both the nearest first."""
+    kept = [i for i, (z, _, _) in enumerate(mine) if z == ARTICLE]
+    if kept:
+        gone = article_template(mine, near)
+        kept = [i for i in kept if i not in gone or mine[i][2]] if len(gone) < len(kept) else []
+    if not kept:
+        outer = [i for i, (z, _, _) in enumerate(mine) if z != ARTICLE]
+        found = [mine[i][1] for i in outer]
+        shared = (without_shared(found, [t for z, t, _ in other if z != ARTICLE]) for other in partners)
+        gone = next((g for g in shared if g is not None), set())
+        kept = [i for k, i in enumerate(outer) if mine[i][0] == OUTSIDE and k not in gone]
+    return "\n\n".join(mine[i][1] for i in kept)
 
 
-def _edges(rows: Iterator[str]) -> list[str | None]:
-    """Of sorted orders: the first, the first of another digest; the last, the last of another digest."""
-    first = last = other_first = other_last = None
+class _Run:
+    """Pages in a row with the same lines; they wait for the pages after the run. ``url``: of the last of them."""
+
+    def __init__(self, first: dict):
+        self.first, self.url, self.digest, self.waiting = first["url"], first["url"], first["key"][-24:], []
+        self.lines: list[Line] = list(zip(first["zones"], first["lines"], first["headings"], strict=True))
+
+    def texts(self, before: list[_Run], after: list[_Run]) -> Iterator[tuple]:
+        """(id, URL, text) of its pages. ``before``, ``after``: the runs on its sides, the next first."""
+        seen: dict[tuple, str] = {}
+        sides = [(k, i, url, run) for i, side in enumerate((before, after)) for k, run in enumerate(side) for url in (run.first if i else run.url,)]
+        for page_id, url in self.waiting:
+            host, path = _key(url)
+            near = [(-_common(path, _key(u)[1]), k, i, run) for k, i, u, run in sides if host and _key(u)[0] == host]
+            near.sort(key=lambda x: x[:3])
+            order = tuple(x[1:3] for x in near)
+            if order not in seen:
+                seen[order] = main_text(self.lines, [x[3].lines for x in near if x[1] == 0], [x[3].lines for x in near])
+            yield page_id, url, seen[order]
+
+
+def _edges(rows: Iterator[str]) -> list[list[str]]:
+    """Of sorted orders: the first of each of the first runs, and the last of each of the last runs from the end on; a run
+    is of one digest."""
+    heads: list[str] = []
+    tails: deque[str] = deque(maxlen=REACH + 1)
     for order in rows:
-        digest = order[-24:]
-        if first is None:
-            first = order
-        elif other_first is None and digest != first[-24:]:
-            other_first = order
-        if last is not None and digest != last[-24:]:
-            other_last = last
-        last = order
-    return [first, other_first, last, other_last]
-
-
-def _guests(edges: list[list[str | None]]) -> dict[str, list[int]]:
-    """The partitions that a page goes to besides its own: it is the nearest page before or after with another digest."""
+        if tails and tails[0][-24:] == order[-24:]:
+            tails[0] = order
+            continue
+        tails.appendleft(order)
+        if len(heads) <= REACH:
+            heads.append(order)
+    return [heads, list(tails)]
+
+
+def _guests(edges: list[list[list[str]]]) -> dict[str, list[int]]:
+    """The partitions that a page goes to besides its own: it is one of the nearest pages before or after that differ."""
     out: dict[str, list[int]] = {}
     for forward in (True, False):
-        last = other = None
+        seen: list[str] = []  # the nearest page of each of the last runs
         for p in range(len(edges)) if forward else range(len(edges) - 1, -1, -1):
-            first, other_first, end, other_end = edges[p] if forward else edges[p][2:] + edges[p][:2]
-            guest = last if last is not None and last[-24:] != first[-24:] else other
-            if guest is not None and guest.split("\x00", 1)[0] == first.split("\x00", 1)[0]:
-                out.setdefault(guest, []).append(p)
-            if other_end is not None:
-                other = other_end
-            elif last is not None and last[-24:] != end[-24:]:
-                other = last
-            last = end
+            first, ends = (edges[p][0][0], edges[p][1]) if forward else (edges[p][1][0], edges[p][0])
+            same = bool(seen) and seen[0][-24:] == first[-24:]
+            for guest in seen[same : same + REACH]:
+                if guest.split("\x00", 1)[0] == first.split("\x00", 1)[0]:
+                    out.setdefault(guest, []).append(p)
+            seen = (ends + seen[same:])[: REACH + 1]
     return out
 
 
@@ -447,42 +505,40 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         for batch in batches:
             found = []
             for i in range(0, batch.num_rows, 200):
-                found += [_order(r["url"], r["page_id"], _digest(r["url"], blocks(r["html"]))) for r in batch.slice(i, 200).to_pylist()]
+                found += [_order(r["url"], r["page_id"], _digest(r["url"], page_lines(r["html"]))) for r in batch.slice(i, 200).to_pylist()]
             yield pa.record_batch([pa.array(found, pa.string())], names=["key"])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _edges(x for batch in batches for x in batch.column("key").to_pylist())
-        if found[0] is not None:
-            yield pa.record_batch([pa.array([found], pa.list_(pa.string()))], names=["edges"])
+        if found[0]:
+            yield pa.record_batch([pa.array([found], pa.list_(pa.list_(pa.string())))], names=["edges"])
 
     dealt = frame.mapInArrow(released(keys), "key string").repartitionByRange(n, "key").sortWithinPartitions("key")
-    edges = sorted((r.edges for r in dealt.mapInArrow(ends, "edges array<string>").collect()), key=lambda e: e[0])  # four keys for each partition
-    lows, guests = [e[0] for e in edges], _guests(edges)
+    edges = sorted((r.edges for r in dealt.mapInArrow(ends, "edges array<array<string>>").collect()), key=lambda e: e[0][0])  # ten keys for each partition
+    lows, guests = [e[0][0] for e in edges], _guests(edges)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 rows = []
                 for r in batch.slice(i, 200).to_pylist():
-                    found = blocks(r["html"])
+                    found = page_lines(r["html"])
                     key = _order(r["url"], r["page_id"], _digest(r["url"], found))
-                    # A page with an article needs no lines but those, unless it is a guest; lines outside serve differencing.
-                    row = {"key": key, "page_id": r["page_id"], "url": r["url"], "zones": [z for z, _ in found], "lines": [t for _, t in found]}
+                    row = {"key": key, "page_id": r["page_id"], "url": r["url"]}
+                    row |= {"zones": [z for z, _, _ in found], "lines": [t for _, t, _ in found], "headings": [h for _, _, h in found]}
                     rows.append({**row, "part": max(0, bisect_right(lows, key) - 1), "guest": False})
-                    if key in guests:
-                        outer = [(z, t) for z, t in found if z != ARTICLE]
-                        row |= {"zones": [z for z, _ in outer], "lines": [t for _, t in outer], "guest": True}
-                        rows += [{**row, "part": p} for p in guests[key]]
+                    rows += [{**row, "part": p, "guest": True} for p in guests.get(key, ())]
                 yield pa.RecordBatch.from_pylist(rows, schema=parsed_schema)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        run: _Run | None = None
-        last: dict | None = None
+        runs: deque[_Run] = deque(maxlen=2 * REACH + 1)
 
-        def settle(after: dict | None) -> None:
-            if run:
-                out.extend((i, u, run.text(u, after)) for i, u in run.waiting)
+        def settle(at: int) -> None:
+            if 0 <= at < len(runs):
+                found = list(runs)
+                out.extend(found[at].texts(found[:at][::-1][:REACH], found[at + 1 :][:REACH]))
+                found[at].waiting = []
 
         def given(least: int) -> Iterator[pa.RecordBatch]:
             while len(out) >= least:
@@ -493,20 +549,18 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 for row in batch.slice(i, 200).to_pylist():
-                    if last is None or row["key"][-24:] != last["key"][-24:]:
-                        settle(row)
-                        run = _Run(last, row)
-                    last = row
+                    if not runs or row["key"][-24:] != runs[-1].digest:
+                        runs.append(_Run(row))
+                        settle(len(runs) - 1 - REACH)
+                    runs[-1].url = row["url"]
                     if not row["guest"]:
-                        if ARTICLE in row["zones"]:
-                            out.append((row["page_id"], row["url"], main_text(list(zip(row["zones"], row["lines"], strict=True)), [])))
-                        else:
-                            run.waiting.append((row["page_id"], row["url"]))
+                        runs[-1].waiting.append((row["page_id"], row["url"]))
                     yield from given(500)
-        settle(None)
+        for at in range(len(runs) - REACH, len(runs)):
+            settle(at)
         yield from given(1)
 
-    schema = f"part int, guest boolean, key string, page_id {kind}, url string, zones array<tinyint>, lines array<string>"
+    schema = f"part int, guest boolean, key string, page_id {kind}, url string, zones array<tinyint>, lines array<string>, headings array<boolean>"
     parsed_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
     id_type = parsed_schema.field("page_id").type
     parsed = frame.mapInArrow(released(read), schema).repartitionById(max(1, len(lows)), F.col("part"))

@@ -192,5 +192,79 @@ def test_copies_keep_their_text(spark):
     assert {r.text for r in found} == {"some words of an article that has no markup", "what another page says at the same length"}
 
 
+def articled(seed=9):
+    """(rows, expected texts) of pages with an article that has lines of its host's template, which no name of markup tells,
+    and passages copied from other pages. Hosts of fewer than five pages have no such template."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    rows, expected, passages = [], {}, [words(20)]
+    for host, n in (("a.org", 70), ("b.org", 40), ("c.org", 5), ("d.org", 4), ("e.org", 1)):
+        for i in range(n):
+            body = [words(rng.randint(20, 40)) for _ in range(rng.randint(1, 5))]
+            passages += body
+            if n > 5 and rng.random() < 0.3:
+                body.insert(rng.randrange(len(body) + 1), rng.choice(passages[-8:]))
+            if rng.random() < 0.5:
+                body.append("A line that half of all articles end with")
+            title, top, bottom = words(4), f"From the desk of {host}", ["More on our channels", f"Write to {host}"]
+            article = [f"<h1>{title}</h1>", f"<p>{top}</p>", "<h2>What happened</h2>", *(f"<p>{x}</p>" for x in body), f"<ul><li>{bottom[0]}<li>{bottom[1]}</ul>"]
+            page = f"<nav>{words(3)}</nav><div>{host}</div><article>{''.join(article)}</article><p>Imprint<footer>{words(2)}</footer>"
+            bare_text = n >= 5
+            text = "\n\n".join([title, *([] if bare_text else [top]), "What happened", *body, *([] if bare_text else bottom)])
+            for copy in range(1 + (n > 5 and rng.random() < 0.1)):
+                expected[len(rows)] = text
+                rows.append((len(rows), f"https://{host}/{i:03d}{'?copy' * copy}", page, 0, "k"))
+    return rows, expected
+
+
+def test_differencing_takes_template_out_of_articles(spark):
+    """Pages with an article go through differencing too; copied passages, headings and frequent endings stay."""
+    rows, expected = articled()
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "3", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert {k: r.text for k, r in run(spark, rows).items()} == expected
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_articles_that_are_template_do_not_replace_the_text(spark):
+    """Where each page has the same teasers in article elements, its text is what lies outside."""
+    rng = random.Random(2)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(40)) for _ in range(12)]
+    teasers = "<article><h3>Latest</h3><p>Read about the weather</p></article><article><h3>Old</h3><p>Read about the past</p></article>"
+    rows = [(i, f"https://h.org/{i:02d}", f"<div>Daily Site</div><div><p>{x}</p></div>{teasers}<p>Imprint", 0, "k") for i, x in enumerate(texts)]
+    assert {k: r.text for k, r in run(spark, rows).items()} == dict(enumerate(texts))
+
+
+def test_guests_are_the_nearest_differing_pages():
+    rng = random.Random(5)
+    for _ in range(400):
+        orders, digest = [], ""
+        for i in range(rng.randint(1, 40)):
+            host = f"h{i // 15}"
+            digest = digest if digest[:2] == host and rng.random() < 0.4 else host + rng.choice("abc") * 22
+            orders.append(f"{host}\x00{i:03d}\x00{digest}")
+        cuts = sorted({0, *(rng.randrange(len(orders)) for _ in range(rng.randint(0, 12)))})
+        parts = [orders[a:b] for a, b in zip(cuts, [*cuts[1:], len(orders)], strict=True)]
+        expected = {}
+        for p, (part, at) in enumerate(zip(parts, cuts, strict=True)):
+            for side, mine in ((orders[:at][::-1], part[0]), (orders[at + len(part) :], part[-1])):
+                nearest, seen = [], mine[-24:]
+                for x in side:
+                    if x[-24:] != seen:
+                        nearest.append(x)
+                        seen = x[-24:]
+                for x in nearest[: pages.REACH]:
+                    if x[:2] == mine[:2]:
+                        expected.setdefault(x, set()).add(p)
+        found = pages._guests([pages._edges(iter(x)) for x in parts])
+        assert {k: set(v) for k, v in found.items()} == expected
+
+
+def test_pages_that_differ_in_headings_are_no_copies():
+    a, b = (pages.page_lines(f"<article><{tag}>a</{tag}><p>b</article>") for tag in ("h2", "p"))
+    assert [x[:2] for x in a] == [x[:2] for x in b] and pages._digest("http://h.org/", a) != pages._digest("http://h.org/", b)
+
+
 def test_empty_table(spark):
     assert pages.extract(spark.createDataFrame([], SCHEMA)).count() == 0
